@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.history import attribute_history
+from ..operators.units import common_quantities
 from ..sources.tables import table
 
 
+def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Quantities of every offer in common units, where specs don't hold them in order."""
+    tables = [table(spark, data_dir, name) for name in ("parsed_title", "raw_listing", "unit_reference")]
+    return common_quantities(*tables).filter(~F.col("in_order")).select("seq", "quantity", "common_value")
+
+
 def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Versions of every listing's price and stock, from all its visits."""
     visits = table(spark, data_dir, "listing_snapshot")
@@ -34,5 +42,5 @@ SELECT listing_id, epoch_us(at) AS valid_from_us,
        coalesce(lead(epoch_us(at)) OVER (PARTITION BY listing_id ORDER BY at), -1) AS valid_to_us
 FROM versions"""
 
-QUERIES = {"p7_found": p7_found}
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
 ORACLES = {"p7_found": P7_SQL}
