@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -49,3 +50,24 @@ def with_slices(df: DataFrame, key: str, position: str, rows_per_slice: int = RO
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 UTC."""
     return F.unix_micros(ts)
+
+
+def with_halo(sliced: Sliced, key: str, position: str, rows: int) -> DataFrame:
+    """The slices with up to ``rows`` neighbouring rows of the slices before and after; ``own`` marks a slice's own rows.
+
+    A window over (key, slice_no) then sees its neighbourhood across the cuts. A neighbour slice with fewer rows gives
+    fewer. Without hot keys every row is its slice's own and nothing is copied.
+    """
+    if not sliced.split:
+        return sliced.rows.withColumn("own", F.lit(True))
+    order = W.partitionBy(key, "slice_no").orderBy(position)
+    ranked = (
+        sliced.rows.filter(F.col("slice_of") > 1)
+        .withColumns({"from_start": F.row_number().over(order), "slice_rows": F.count(F.lit(1)).over(W.partitionBy(key, "slice_no"))})
+    )
+    lent = [
+        ranked.filter(F.col("from_start") <= rows).withColumn("slice_no", F.col("slice_no") - 1),
+        ranked.filter(F.col("from_start") > F.col("slice_rows") - rows).withColumn("slice_no", F.col("slice_no") + 1),
+    ]
+    copies = lent[0].unionByName(lent[1]).filter(F.col("slice_no").between(0, F.col("slice_of") - 1)).drop("from_start", "slice_rows")
+    return sliced.rows.withColumn("own", F.lit(True)).unionByName(copies.withColumn("own", F.lit(False)))

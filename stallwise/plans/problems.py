@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import attribute_history
+from ..operators.spikes import impossible_readings
 from ..operators.units import common_quantities
 from ..sources.tables import table
 
@@ -16,6 +17,11 @@ def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return common_quantities(*tables).filter(~F.col("in_order")).select("seq", "quantity", "common_value")
 
 
+def p5_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Readings whose price cannot have been asked."""
+    return impossible_readings(table(spark, data_dir, "listing_snapshot"))
+
+
 def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Versions of every listing's price and stock, from all its visits."""
     visits = table(spark, data_dir, "listing_snapshot")
@@ -42,5 +48,5 @@ SELECT listing_id, epoch_us(at) AS valid_from_us,
        coalesce(lead(epoch_us(at)) OVER (PARTITION BY listing_id ORDER BY at), -1) AS valid_to_us
 FROM versions"""
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 ORACLES = {"p7_found": P7_SQL}
