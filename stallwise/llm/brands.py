@@ -198,18 +198,25 @@ def reference_names(reference: DataFrame) -> list[tuple[int, str]]:
     return [(r[0], n.strip()) for r in rows for n in [r[1] or "", *(r[2] or "").split(";")] if n and n.strip()]
 
 
+@lru_cache(maxsize=2)
+def _trie(names: tuple[tuple[int, str], ...]) -> NameTrie:
+    return NameTrie(names)
+
+
+@lru_cache(maxsize=CACHE)
+def _remembered(names: tuple[tuple[int, str], ...], name: str) -> int:
+    return match_name(_trie(names), name)
+
+
 def matcher(names: list[tuple[int, str]]):
     """A pandas UDF from a name to its entry or 0; each worker builds the trie once and remembers names."""
-
-    @lru_cache(maxsize=1)
-    def ready():
-        trie = NameTrie(names)
-        return lru_cache(maxsize=CACHE)(lambda name: match_name(trie, name))
+    fixed = tuple(names)
 
     @F.pandas_udf("long")
     def entry_of(values: pd.Series) -> pd.Series:
-        match = ready()
-        return values.map(lambda v: match(v) if isinstance(v, str) else 0)
+        codes, distinct = pd.factorize(values)
+        found = [_remembered(fixed, v) for v in distinct]
+        return pd.Series([found[c] if c >= 0 else 0 for c in codes], index=values.index)
 
     return entry_of
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .brands import has_sign, mapped_names
+from .survivors import describes, names_in_full, picture_address, surviving_values
 
 
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -19,5 +20,19 @@ def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return mapped_names(typed.join(exact, "brand", "left_anti"), "brand", reference).select("record_type", "record_id", "brand_id")
 
 
-QUERIES = {"p1_found": p1_found}
+def p6_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The row whose title, description and picture survive, for every key of two or more products."""
+    columns = ["canonical_key", "id", "title", "description", "image_url", "source_merchant", "updated_at"]
+    ranks = table(spark, data_dir, "merchant").select(F.col("slug").alias("source_merchant"), "trust_rank")
+    products = table(spark, data_dir, "product").select(*columns).join(F.broadcast(ranks.dropDuplicates(["source_merchant"])), "source_merchant", "left")
+    usable = {
+        "title": names_in_full(F.col("title"), F.col("canonical_key")),
+        "description": describes(F.col("description"), F.col("canonical_key")),
+        "image_url": picture_address(F.col("image_url")),
+    }
+    found = surviving_values(products, "canonical_key", "id", usable, F.col("trust_rank"), "updated_at")
+    return found.select("canonical_key", "field_name", F.col("id").alias("product_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
