@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .brands import has_sign, mapped_names
+from .language import language_segments, wrongly_labelled
 from .survivors import describes, names_in_full, picture_address, surviving_values
 
 
@@ -34,5 +35,11 @@ def p6_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return found.select("canonical_key", "field_name", F.col("id").alias("product_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
+def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The segments of documents that are mixed or whose label is missing or wrong."""
+    segments = language_segments(spark, table(spark, data_dir, "documents"))
+    return wrongly_labelled(segments).select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
