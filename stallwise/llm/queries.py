@@ -9,6 +9,7 @@ from ..sources.tables import table
 from .brands import has_sign, mapped_names
 from .language import language_segments, wrongly_labelled
 from .survivors import describes, names_in_full, picture_address, surviving_values
+from .vectors import most_similar
 
 
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -21,6 +22,12 @@ def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return mapped_names(typed.join(exact, "brand", "left_anti"), "brand", reference).select("record_type", "record_id", "brand_id")
 
 
+def p3_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Pairs of products of which one is among the five most similar of the other, at a cosine of 0.8 or more."""
+    near = most_similar(table(spark, data_dir, "product"))
+    return near.select(F.least("id", "neighbour").alias("product_id_a"), F.greatest("id", "neighbour").alias("product_id_b")).distinct()
+
+
 def p6_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """The row whose title, description and picture survive, for every key of two or more products."""
     columns = ["canonical_key", "id", "title", "description", "image_url", "source_merchant", "updated_at"]
@@ -41,5 +48,5 @@ def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return wrongly_labelled(segments).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
