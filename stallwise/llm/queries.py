@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .brands import has_sign, mapped_names
+from .entities import pairs_of, same_items
 from .language import language_segments, wrongly_labelled
 from .survivors import describes, names_in_full, picture_address, surviving_values
 from .vectors import most_similar
@@ -22,6 +23,12 @@ def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return mapped_names(typed.join(exact, "brand", "left_anti"), "brand", reference).select("record_type", "record_id", "brand_id")
 
 
+def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Pairs of listings that offer the same item."""
+    names = ("listing", "raw_listing", "parsed_title", "product", "unit_reference", "brand_reference")
+    return pairs_of(same_items(*[table(spark, data_dir, name) for name in names]))
+
+
 def p3_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Pairs of products of which one is among the five most similar of the other, at a cosine of 0.8 or more."""
     near = most_similar(table(spark, data_dir, "product"))
@@ -48,5 +55,5 @@ def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return wrongly_labelled(segments).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
