@@ -9,7 +9,10 @@ from ..sources.tables import table
 from .brands import has_sign, mapped_names
 from .entities import pairs_of, same_items
 from .language import language_segments, wrongly_labelled
+from .mixing import mixture, share_report
+from .packing import container_report, packed
 from .survivors import describes, names_in_full, picture_address, surviving_values
+from .tokens import token_count
 from .vectors import most_similar
 
 
@@ -49,11 +52,32 @@ def p6_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return found.select("canonical_key", "field_name", F.col("id").alias("product_id"))
 
 
+def p8_containers(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every document's pieces in containers of every kind."""
+    items = table(spark, data_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    return packed(items, table(spark, data_dir, "pack_limit"))
+
+
+def p8_unused(spark: SparkSession, data_dir: str) -> DataFrame:
+    """How much of the containers' room stays unused."""
+    return container_report(p8_containers(spark, data_dir), table(spark, data_dir, "pack_limit"))
+
+
+def p9_mixture(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every document with its copies in the mixture."""
+    return mixture(table(spark, data_dir, "documents"), table(spark, data_dir, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The shares that the mixture reaches beside those aimed at."""
+    return share_report(p9_mixture(spark, data_dir), table(spark, data_dir, "mix_target"))
+
+
 def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """The segments of documents that are mixed or whose label is missing or wrong."""
     segments = language_segments(spark, table(spark, data_dir, "documents"))
     return wrongly_labelled(segments).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p8_containers": p8_containers, "p8_unused": p8_unused, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
