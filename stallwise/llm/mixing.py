@@ -78,7 +78,7 @@ def memberships(documents: DataFrame, names: list[str]) -> DataFrame:
     counts = _word_counts(documents, names)
     known = dict(documents.filter("domain IS NOT NULL").groupBy("domain").count().collect())
     seen = np.array([known.get(i, 0) for i in range(len(names))], dtype=float)
-    prior = np.log(np.maximum(seen, 1e-300)) if seen.any() else np.zeros(len(names))  # no document is of a source that none is known of
+    prior = np.where(seen > 0, np.log(np.maximum(seen, 1)), -np.inf) if seen.any() else np.zeros(len(names))  # no document is of a source that none is known of
     spread = np.log(counts + 0.5) - np.log(counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +132,7 @@ def fitted(documents: DataFrame, names: list[str], targets: np.ndarray, repeats:
         return both[0], both[1]
 
     mass, used = totals([])
-    reachable = (targets > 0) & (mass > 0)
+    reachable = (targets > 0) & (mass >= 1)  # a membership is hardly ever quite 0
     if total is None:
         total = float(np.min(mass[reachable] * repeats[reachable] / targets[reachable])) if reachable.any() else 0.0
     steps: list[np.ndarray] = []
