@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -22,6 +23,7 @@ from .tokens import VOCABULARY, token_count
 BUCKETS = 1 << 12  #: hashed words of the classifier
 STEPS = 40
 ENOUGH = 1e-4  #: largest change of a source's share in a step at which the steps end
+SLICE = 500_000  #: documents in whose order rates are rounded together, over all sources
 MAX_SOURCES = 1_000
 OTHER = ""  #: stands for all sources without a target
 
@@ -158,8 +160,9 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     """Every document with its number of ``copies`` in the mixture: ``doc_id``, ``source``, ``n_tokens``, ``rate``, ``copies``.
 
     ``documents`` has doc_id, text and source, ``targets`` (at most ``MAX_SOURCES`` rows) source, target_share and
-    max_repeats. ``source`` is the one that spelling variants share, or the likeliest for documents without one. A rate's
-    fraction becomes a copy or none by a hash of the id, so the outcome is the same each time. Sources without a target
+    max_repeats. ``source`` is the one that spelling variants share, or the likeliest for documents without one. Rates
+    become whole copies along each source's documents in the order of their size, so that what rounding leaves over goes
+    to a document of nearly the same size; large sources are cut into slices by a hash for that. Sources without a target
     get no copies. Repeated rows are documents of their own; null and empty texts have no tokens and no copies.
     """
     wanted = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source IS NOT NULL")
@@ -174,10 +177,15 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     sized = documents.select("doc_id", "text", domain.alias("domain"), token_count(F.col("text"), vocabulary).alias("n_tokens"))
     members = durable(memberships(sized, names))
     rated, _ = fitted(members, names, shares, repeats, total)
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     labels = F.array(*[F.lit(n) for n in names])
-    copies = F.when(F.col("n_tokens") > 0, F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).otherwise(F.lit(0)).cast("long")
-    return rated.select("doc_id", F.get(labels, F.coalesce("domain", "likeliest").cast("int")).alias("source"), "n_tokens", "rate", copies.alias("copies"))
+    slices = max(1, -(-members.count() // SLICE))
+    placed = rated.select("doc_id", F.get(labels, F.coalesce("domain", "likeliest").cast("int")).alias("source"), "n_tokens", "rate")
+    placed = durable(placed.withColumns({"slice": F.pmod(F.xxhash64("doc_id"), F.lit(slices)), "row": F.monotonically_increasing_id()}))
+    along = W.partitionBy("source", "slice").orderBy(F.col("n_tokens").desc(), F.xxhash64("doc_id"), "row").rowsBetween(W.unboundedPreceding, 0)
+    rate = F.when(F.col("n_tokens") > 0, F.col("rate")).otherwise(F.lit(0.0))
+    upto = F.sum(rate).over(along)
+    copies = F.floor(upto + 0.5 + 1e-9) - F.floor(upto - rate + 0.5 + 1e-9)
+    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "source", "n_tokens", "rate", "copies")
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
