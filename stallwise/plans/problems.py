@@ -33,19 +33,19 @@ def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
 
 P7_SQL = """
 WITH latest AS (
-  SELECT listing_id, last_checked_at AS at,
+  SELECT listing_id, last_checked_at AS read_at,
          arg_max(struct_pack(p := price_kes, s := in_stock), struct_pack(l := loaded_at, i := snap_id)) AS kept
   FROM listing_snapshot WHERE last_checked_at IS NOT NULL AND listing_id IS NOT NULL GROUP BY 1, 2),
 filled AS (
-  SELECT listing_id, at, last_value(kept.p IGNORE NULLS) OVER so_far AS p, last_value(kept.s IGNORE NULLS) OVER so_far AS s,
-         row_number() OVER (PARTITION BY listing_id ORDER BY at) AS nth
-  FROM latest WINDOW so_far AS (PARTITION BY listing_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  SELECT listing_id, read_at, last_value(kept.p IGNORE NULLS) OVER so_far AS p, last_value(kept.s IGNORE NULLS) OVER so_far AS s,
+         row_number() OVER (PARTITION BY listing_id ORDER BY read_at) AS nth
+  FROM latest WINDOW so_far AS (PARTITION BY listing_id ORDER BY read_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 compared AS (
-  SELECT *, lag(p) OVER w AS p0, lag(s) OVER w AS s0 FROM filled WINDOW w AS (PARTITION BY listing_id ORDER BY at)),
+  SELECT *, lag(p) OVER w AS p0, lag(s) OVER w AS s0 FROM filled WINDOW w AS (PARTITION BY listing_id ORDER BY read_at)),
 versions AS (
-  SELECT listing_id, at FROM compared WHERE nth = 1 OR p IS DISTINCT FROM p0 OR s IS DISTINCT FROM s0)
-SELECT listing_id, epoch_us(at) AS valid_from_us,
-       coalesce(lead(epoch_us(at)) OVER (PARTITION BY listing_id ORDER BY at), -1) AS valid_to_us
+  SELECT listing_id, read_at FROM compared WHERE nth = 1 OR p IS DISTINCT FROM p0 OR s IS DISTINCT FROM s0)
+SELECT listing_id, epoch_us(read_at) AS valid_from_us,
+       coalesce(lead(epoch_us(read_at)) OVER (PARTITION BY listing_id ORDER BY read_at), -1) AS valid_to_us
 FROM versions"""
 
 QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
