@@ -128,7 +128,7 @@ def spec_mentions(df: DataFrame, reference: DataFrame) -> DataFrame:
             F.when(suffix != "", _symbol(suffix)).alias("name_unit"),
             (~F.col("quoted") & (F.col("unit_text") == "")).alias("plain"),
         )
-        .filter(F.col("figure").isNotNull())
+        .filter(F.col("figure") > 0)
         .join(reference.select("quantity").distinct(), "quantity", "left_semi")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import keys, numbers, text
+from ..functions import keys, numbers, text, titles
 from ..operators import facets, maintenance, ranking, tree
 from ..sources.tables import table
 
@@ -134,8 +134,8 @@ def facet_price_max(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT 'brand' AS facet, list_sort(list(DISTINCT brand)) AS choices FROM product WHERE category_slug = 'phones' AND brand IS NOT NULL AND lower(brand) NOT IN ('', 'null', 'unknown')
-UNION ALL SELECT 'storage_gb', list_transform(list_sort(list(DISTINCT json_extract_string(specs, '$.storage_gb')::BIGINT)), lambda x: x::VARCHAR) FROM product WHERE category_slug = 'phones'
-UNION ALL SELECT 'ram_gb', list_transform(list_sort(list(DISTINCT json_extract_string(specs, '$.ram_gb')::BIGINT)), lambda x: x::VARCHAR) FROM product WHERE category_slug = 'phones'""")
+UNION ALL SELECT 'storage_gb', list_transform(list_sort(list(DISTINCT json_extract_string(specs, '$.storage_gb')::BIGINT)), lambda x: x::VARCHAR) FROM product WHERE category_slug = 'phones' AND json_extract_string(specs, '$.storage_gb') IS NOT NULL
+UNION ALL SELECT 'ram_gb', list_transform(list_sort(list(DISTINCT json_extract_string(specs, '$.ram_gb')::BIGINT)), lambda x: x::VARCHAR) FROM product WHERE category_slug = 'phones' AND json_extract_string(specs, '$.ram_gb') IS NOT NULL""")
 def facet_available_values(spark: SparkSession, d: str) -> DataFrame:
     """What phones can be filtered by."""
     return facets.available_values(table(spark, d, "product").filter("category_slug = 'phones'"), facets.facets_for("phones"))
@@ -149,8 +149,9 @@ def json_spec_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p.id, count(*) AS offer_count, max(l.last_checked_at) AS checked FROM product p JOIN listing l ON l.product_id = p.id
-GROUP BY p.id, p.created_at ORDER BY offer_count DESC, p.created_at DESC, checked DESC, p.id LIMIT 48 OFFSET 96""")
+WITH o AS (SELECT p.id, p.created_at, count(*) AS offer_count, max(l.last_checked_at) AS checked FROM product p JOIN listing l ON l.product_id = p.id GROUP BY p.id, p.created_at),
+r AS (SELECT *, row_number() OVER (ORDER BY offer_count DESC, created_at DESC, checked DESC, id) AS place, count(*) OVER () AS n FROM o)
+SELECT id, offer_count, checked FROM r WHERE (place - 1) // 48 = least(3, (n + 47) // 48) - 1""")
 def paged_listing(spark: SparkSession, d: str) -> DataFrame:
     """The third page of the products by offers, age and freshness."""
     offers = table(spark, d, "listing").filter("product_id IS NOT NULL").groupBy(F.col("product_id").alias("id")).agg(F.count(F.lit(1)).alias("offer_count"), F.max("last_checked_at").alias("checked"))
@@ -527,3 +528,38 @@ def visits_by_gap(spark: SparkSession, d: str) -> DataFrame:
     cut = table(spark, d, "events").withColumn("opens", F.coalesce(gap, F.lit(True)).cast("long"))
     numbered = cut.withColumn("session", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("opened"), F.max("ts").alias("closed"))
+
+
+@query()
+def titles_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of the categories that have a grammar, read with the brands of the reference list, a fixed table."""
+    brands = [r[0] for r in table(spark, d, "brand_reference").select("brand_name").limit(1001).collect()][:1000]
+    leaves = sorted({"phones", "tablets", "laptops", "tvs", "refrigerators", "kettles", "blenders", "audio", "inverters", "solar-batteries"})
+    raw = table(spark, d, "raw_listing").select("seq", "category_slug", "title", "description")
+    return titles.parsed_offers(raw, "title", leaves, brands, "description").select("seq", "category_slug", "parsed.brand", "parsed.canonical_key")
+
+
+@query("""
+WITH l AS (SELECT product_id, count(*) AS offer_count, min(price_kes)::DOUBLE AS low FROM listing WHERE product_id IS NOT NULL GROUP BY 1)
+SELECT p.id, p.slug, l.offer_count, l.low FROM product p LEFT JOIN l ON l.product_id = p.id WHERE p.category_slug = 'tvs'""")
+def product_offers_left(spark: SparkSession, d: str) -> DataFrame:
+    """TVs with their offers, those without any included; offers are counted before the join."""
+    offers = table(spark, d, "listing").filter("product_id IS NOT NULL").groupBy("product_id").agg(F.count(F.lit(1)).alias("offer_count"), F.min("price_kes").cast("double").alias("low"))
+    tvs = table(spark, d, "product").filter("category_slug = 'tvs'").select("id", "slug")
+    return tvs.join(offers, tvs["id"] == offers["product_id"], "left").select("id", "slug", "offer_count", "low")
+
+
+@query("""
+WITH a AS (SELECT id, product_id, url FROM listing WHERE product_id % 3 = 0), r AS (SELECT id AS old, id - 1 AS new FROM product WHERE id % 3 = 0)
+SELECT a.id, coalesce(r.new, a.product_id) AS product_id FROM a LEFT JOIN r ON r.old = a.product_id""")
+def redirect_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Offers led to the product that a forwarding names, or left where they are."""
+    offers = table(spark, d, "listing").filter("product_id % 3 = 0").select("id", F.col("product_id").alias("old"))
+    forward = table(spark, d, "product").filter("id % 3 = 0").select(F.col("id").alias("old"), (F.col("id") - 1).alias("new"))
+    return offers.join(forward, "old", "left").select("id", F.coalesce("new", "old").alias("product_id"))
+
+
+@query("SELECT seq, merchant_slug FROM (SELECT *, row_number() OVER (PARTITION BY merchant_slug ORDER BY observed_at DESC, seq DESC) AS n FROM raw_listing) WHERE n = 1")
+def newest_delivery(spark: SparkSession, d: str) -> DataFrame:
+    """Every merchant's newest delivery."""
+    return maintenance.keep_latest(table(spark, d, "raw_listing").select("seq", "merchant_slug", "observed_at"), ["merchant_slug"], "observed_at", "seq").select("seq", "merchant_slug")
