@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tokens import spread
+
 # Names and codes of languages, all for the two-letter code before the colon.
 LABELS = """
 en: eng english; sw: swa swh swahili kiswahili; fr: fra fre french français francais; es: spa spanish español espanol castellano
@@ -281,7 +283,7 @@ def language_segments(spark: SparkSession, documents: DataFrame) -> DataFrame:
     ``documents`` has doc_id, text and lang; ``label`` is the code that lang names, null if it names none. Null and
     blank texts give no rows; repeated documents give theirs again. Without any labelled language every text is 'und'.
     """
-    source = documents.select("doc_id", "text", "lang")
+    source = spread(documents.select("doc_id", "text", "lang"))
     model = fit(source)
     shared = spark.sparkContext.broadcast(model)  # of fixed size: buckets times centroids
 

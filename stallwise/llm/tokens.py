@@ -6,7 +6,7 @@ import base64
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -36,3 +36,12 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
         return texts.map(lambda t: len(encode(t)) if isinstance(t, str) else 0).astype("int64")
 
     return count(text)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: texts compress so well that a small file holds many.
+
+    Inputs with enough partitions, as all large ones have, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
