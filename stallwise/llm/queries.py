@@ -11,7 +11,7 @@ from .entities import pairs_of, same_items
 from .language import language_segments, wrongly_labelled
 from .mixing import mixture, share_report
 from .packing import container_report, packed
-from .survivors import describes, names_in_full, picture_address, surviving_values
+from .survivors import CUT, GARBLED, NO_PICTURE, SIZED, describes, names_in_full, picture_address, surviving_values
 from .tokens import token_count
 from .vectors import most_similar
 
@@ -79,5 +79,40 @@ def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return wrongly_labelled(segments).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p8_containers": p8_containers, "p8_unused": p8_unused, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
-ORACLES: dict[str, str] = {}
+P6_SQL = """
+WITH p AS (
+  SELECT id, canonical_key, title, description, image_url, updated_at, m.trust_rank,
+         replace(regexp_extract(canonical_key, '([a-z]+)-?([0-9][0-9a-z]*)', 0), '-', '') AS code,
+         regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS title_letters, regexp_replace(lower(description), '[^a-z0-9]', '', 'g') AS text_letters,
+         lower(regexp_extract(trim(image_url), '^https://[^/\\s]+/(\\S+)$', 1)) AS path
+  FROM product LEFT JOIN (SELECT slug, any_value(trust_rank) AS trust_rank FROM merchant GROUP BY slug) m ON m.slug = source_merchant
+  WHERE canonical_key IS NOT NULL),
+usable AS (
+  SELECT canonical_key, 'title' AS field_name, id, trust_rank, updated_at FROM p
+  WHERE NOT regexp_matches(title, '{garbled}') AND NOT regexp_matches(title, '{cut}') AND regexp_matches(title, '{sized}')
+    AND CASE WHEN code <> '' THEN contains(title_letters, code) ELSE regexp_matches(title_letters, '[a-z]+[0-9]{{3}}') END
+    AND len(regexp_split_to_array(trim(title), '\\s+')) >= 4
+  UNION ALL SELECT canonical_key, 'description', id, trust_rank, updated_at FROM p
+  WHERE NOT regexp_matches(description, '{garbled}') AND NOT regexp_matches(description, '{cut}')
+    AND CASE WHEN code <> '' THEN contains(text_letters, code) ELSE len(regexp_split_to_array(trim(description), '\\s+')) >= 5 END
+    AND regexp_matches(trim(description), '[.!?。！？؟]["''”’»)]*$')
+  UNION ALL SELECT canonical_key, 'image_url', id, trust_rank, updated_at FROM p
+  WHERE path <> '' AND NOT regexp_matches(path, '{no_picture}') AND NOT regexp_matches(path, '\\.(svg|gif|ico)(\\?.*)?$')),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY canonical_key, field_name ORDER BY trust_rank NULLS LAST, updated_at DESC NULLS LAST, id) AS place FROM usable
+  WHERE canonical_key IN (SELECT canonical_key FROM product GROUP BY 1 HAVING count(*) > 1))
+SELECT canonical_key, field_name, id AS product_id FROM ranked WHERE place = 1""".replace("\\\\", "\\").format(
+    garbled=GARBLED, cut=CUT.replace("(?i)read more", "(?i:read more)").replace("(?i)show more", "(?i:show more)"), sized=SIZED, no_picture=NO_PICTURE
+)
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p8_containers": p8_containers,
+    "p8_unused": p8_unused,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+}
+ORACLES = {"p6_found": P6_SQL}

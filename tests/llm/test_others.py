@@ -190,3 +190,20 @@ def test_same_items(spark):
     brands = spark.createDataFrame([(1, "Acme", None)], "brand_id long, brand_name string, also_sold_as string")
     pairs = {tuple(x) for x in entities.pairs_of(entities.same_items(listing, raw, parsed, products, reference, brands)).collect()}
     assert pairs == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
+
+
+def test_survivors_equal_sql(spark):
+    import os
+
+    import duckdb
+
+    from stallwise.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for name in ("product", "merchant"):
+        con.sql(f"create view {name} as select * from '{data}/{name}.parquet'")
+    got = sorted(tuple(r) for r in queries.p6_found(spark, data).collect())
+    assert got == sorted(con.sql(queries.P6_SQL).fetchall())
