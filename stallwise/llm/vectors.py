@@ -5,7 +5,8 @@ Besides its own bucket, a vector visits those next to it in the order of their e
 The candidates of all tables are merged and reranked by exact cosine.
 
 Copies of a vector are handled once: one representative is hashed, and the copies with the smallest ids stand for all.
-Buckets that hold too many different vectors are not cut but hashed again with narrower quantisation, level by level.
+Vectors that meet in a bucket with too many different vectors are a crowd with all that these meet in other such buckets.
+A crowd is compared block by block, all blocks with all blocks, by exact cosine; nothing of it is left out.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from ..session import durable
 TABLES = 10
 PROBES = 20
 WIDTH = 2.3  #: of a quantisation step, for vectors of length 1
-NARROWER = 3.0  #: factor between levels
-LEVELS = 4
-BUCKET = 400  #: different vectors a bucket may hold before it is hashed again
+BUCKET = 400  #: different vectors a bucket may hold before all that visit it are compared exactly
+BLOCK = 16_384  #: vectors of a crowd held in memory at a time, twice
 SKETCH_LIMIT = 40  #: differing bits of 128 up to which a candidate is reranked: at a cosine of 0.8, three deviations more than expected
 BITMAP_LOG2 = 25  #: bits that remember which buckets exist, as a power of two: 4 MB whatever the data
 HOME = 2_000  #: vectors compared at one place; where more come together, pairs are joined one by one
@@ -57,11 +57,10 @@ def probe_sets(k: int, probes: int) -> tuple[tuple[int, ...], ...]:
 
 
 @lru_cache(maxsize=8)
-def _directions(dims: int, k: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _directions(dims: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Projections and offsets of all tables, odd multipliers that turn buckets into keys, and the sketch's planes."""
-    rng = np.random.default_rng([SEED, level])
-    width = WIDTH / NARROWER**level
-    a = rng.normal(size=(dims, TABLES * k)).astype(np.float32) / np.float32(width)
+    rng = np.random.default_rng([SEED, 0])
+    a = rng.normal(size=(dims, TABLES * k)).astype(np.float32) / np.float32(WIDTH)
     b = rng.uniform(0, 1, size=TABLES * k).astype(np.float32)
     odd = rng.integers(0, 2**63, size=TABLES * k, dtype=np.uint64) | np.uint64(1)
     return a, b, odd, np.random.default_rng(SEED + 1).normal(size=(dims, 128)).astype(np.float32)
@@ -72,9 +71,9 @@ def _matrix(batch: pa.RecordBatch, dims: int) -> np.ndarray:
     return flat.reshape(-1, dims).astype(np.float64)
 
 
-def hash_keys(x: np.ndarray, k: int, level: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_keys(x: np.ndarray, k: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys (rows, tables) and the keys of the probed buckets (rows, tables, probes) of unit vectors."""
-    a, b, odd, _ = _directions(x.shape[1], k, level)
+    a, b, odd, _ = _directions(x.shape[1], k)
     at = x.astype(np.float32) @ a + b
     cell = np.floor(at)
     inside = (at - cell).reshape(len(x), TABLES, k)
@@ -130,15 +129,15 @@ def _members(rows: DataFrame, dims: int) -> DataFrame:
     return rows.mapInArrow(work, "id long, h1 long, h2 long")
 
 
-def _base_buckets(vectors: DataFrame, dims: int, k: int, level: int) -> DataFrame:
+def _base_buckets(vectors: DataFrame, dims: int, k: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, m = _sound(batch, dims)
             x = _unit(m)
-            own, _ = hash_keys(x, k, level, 0)
-            bits = sketch(x, _directions(dims, k, level)[3])
+            own, _ = hash_keys(x, k, 0)
+            bits = sketch(x, _directions(dims, k)[3])
             columns = [own.reshape(-1).view(np.int64), np.repeat(ids, TABLES), *[np.repeat(bits[:, i], TABLES) for i in (0, 1)], _bit(own.reshape(-1))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "s1", "s2", "bit"])
 
@@ -161,7 +160,7 @@ def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[part, position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1
 
 
-def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, level: int, bitmap: np.ndarray) -> DataFrame:
+def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, bitmap: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast(bitmap)  # of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,53 +168,95 @@ def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, level: i
             for batch in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
                 ids, m = _sound(batch, dims)
                 x = _unit(m)
-                _, probed = hash_keys(x, k, level, PROBES)
+                _, probed = hash_keys(x, k, PROBES)
                 flat = probed.reshape(-1)
                 hit = np.flatnonzero(_held(shared.value, _bit(flat)))
                 rows = hit // (TABLES * PROBES)
-                bits = sketch(x, _directions(dims, k, level)[3])
+                bits = sketch(x, _directions(dims, k)[3])
                 columns = [flat[hit].view(np.int64), ids[rows], bits[rows, 0], bits[rows, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "s1", "s2"])
 
     return vectors.mapInArrow(work, "bucket long, id long, s1 long, s2 long")
 
 
-def candidate_pairs(vectors: DataFrame, count: int, dims: int) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of ids that met in a bucket and whose sketches are close enough."""
-    spark, level, found, left = vectors.sparkSession, 0, [], vectors
+def candidate_pairs(vectors: DataFrame, count: int, dims: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs ``a`` < ``b`` of ids that met in a bucket and whose sketches are close enough, and the crowds.
+
+    Crowds are ``id`` and ``crowd``, or None without any. Pairs within a crowd are not among the pairs.
+    """
+    k = max(8, math.ceil(math.log2(max(count, 2))) + 3)  # so that strangers met by a vector stay as few at any size
+    base = durable(_base_buckets(vectors, dims, k))
+    probes = _probes(vectors.sparkSession, vectors, dims, k, _existing(base))
+    base = base.drop("bit")
+    hot = durable(base.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > BUCKET))
+    crowds = None
+    if not hot.isEmpty():
+        probes = durable(probes)
+        crowds = _crowds(durable(base.unionByName(probes).join(hot, "bucket", "left_semi").select("bucket", "id").distinct()))
+        base, probes = (side.join(hot, "bucket", "left_anti").join(crowds, "id", "left") for side in (base, probes))
+    return durable(_meetings(base, base.unionByName(probes))), crowds
+
+
+def _crowds(visits: DataFrame) -> DataFrame:
+    """``id`` and ``crowd`` of the visitors of hot buckets; those linked by a chain of shared buckets are one crowd."""
+    labels = durable(visits.groupBy("id").agg(F.min("bucket").alias("crowd")))
     while True:
-        k = max(8, math.ceil(math.log2(max(count, 2))) + 3)  # so that strangers met by a vector stay as few at any size
-        base = durable(_base_buckets(left, dims, k, level))
-        probes = _probes(spark, left, dims, k, level, _existing(base))
-        base = base.drop("bit")
-        hot = durable(base.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > BUCKET))
-        crowded = not hot.isEmpty()
-        if crowded:
-            probes = durable(probes)
-            everything = base.unionByName(probes)
-            ids = everything.join(hot, "bucket", "left_semi").select("id").distinct()
-            if level + 1 == LEVELS:
-                # Nothing separates these any more: they are all but equal. Each meets a share of its bucket.
-                share = F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / BUCKET)).cast("long")
-                split = base.join(hot, "bucket").select(F.xxhash64("bucket", share).alias("bucket"), "id", "s1", "s2")
-                found.append(_meetings(split, split))
-            base, probes = base.join(hot, "bucket", "left_anti"), probes.join(hot, "bucket", "left_anti")
-        found.append(_meetings(base, base.unionByName(probes)))
-        level += 1
-        if not crowded or level == LEVELS:
-            break
-        left = durable(left.join(ids, "id", "left_semi"))
-        count = left.count()
-    return durable(reduce(DataFrame.unionByName, found).distinct())
+        least = visits.join(labels, "id").groupBy("bucket").agg(F.min("crowd").alias("crowd"))
+        following = durable(visits.join(least, "bucket").groupBy("id").agg(F.min("crowd").alias("crowd")))
+        if following.join(labels, ["id", "crowd"], "left_anti").isEmpty():
+            return following
+        labels = following
 
 
 def _meetings(base: DataFrame, visits: DataFrame) -> DataFrame:
-    held = base.select("bucket", F.col("id").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
+    held = base.withColumnsRenamed({"id": "x", "s1": "x1", "s2": "x2", "crowd": "x_crowd"})
     differing = F.bit_count(F.col("s1").bitwiseXOR(F.col("x1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("x2")))
     met = visits.join(held, "bucket").filter((F.col("id") != F.col("x")) & (differing <= SKETCH_LIMIT))
+    if "crowd" in base.columns:
+        met = met.filter(F.coalesce(F.col("crowd") != F.col("x_crowd"), F.lit(True)))
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
+def crowd_cosines(vectors: DataFrame, crowds: DataFrame, dims: int, k: int, least: float) -> DataFrame:
+    """``x``, ``y`` and ``similarity``, in doubles, of the ``k`` most similar vectors that each block of its crowd has for ``x``.
+
+    A crowd's ids are dealt to blocks by hash. Every two blocks, and every block with itself, meet in one task; a vector
+    is sent once for each block of its crowd, so the work grows with the square of a crowd and is spread over tasks.
+    """
+    blocks = crowds.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = crowds.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = vectors.join(durable(dealt), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = sent.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "embedding")
+    return met.groupBy("crowd", "i", "j").applyInArrow(_compare_blocks(dims, k, least), "x long, y long, similarity double")
+
+
+def _compare_blocks(dims: int, k: int, least: float):
+    def nearest(x_ids: np.ndarray, x: np.ndarray, y_ids: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """For each of x its k nearest of y; on similarities equal to nine digits the smaller id. ``y_ids`` ascend."""
+        out = []
+        for at in range(0, len(x), 256):
+            similarity = x[at : at + 256] @ y.T
+            similarity[x_ids[at : at + 256, None] == y_ids] = -2
+            rank = np.rint(similarity * 1e9).astype(np.int64) * 2**32 - np.arange(len(y))
+            best = np.argpartition(rank, -k, axis=1)[:, -k:] if len(y) > k else np.broadcast_to(np.arange(len(y)), similarity.shape)
+            value = np.take_along_axis(similarity, best, axis=1)
+            row, place = np.nonzero(value >= least)
+            out.append((x_ids[at + row], y_ids[best[row, place]], value[row, place]))
+        return out
+
+    def work(block_pair: pa.Table) -> pa.Table:
+        block_pair = block_pair.combine_chunks()
+        ids, first = np.unique(block_pair.column("id").to_numpy(), return_index=True)  # repeated rows count once
+        x = _unit(_matrix(block_pair.to_batches()[0], dims)[first]) if len(ids) else np.zeros((0, dims))
+        block = block_pair.column("block").to_numpy()[first]
+        sides = [np.flatnonzero(block == b) for b in np.unique(block)]
+        found = [n for own in sides for other in (sides if len(sides) == 1 else [o for o in sides if o is not own]) for n in nearest(ids[own], x[own], ids[other], x[other])]
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("x", "y", "similarity"), columns)))
+
+    return work
+
+
 def exact_cosines(vectors: DataFrame, pairs: DataFrame, dims: int) -> DataFrame:
     """``a``, ``b`` and ``similarity`` of the pairs, in doubles.
 
@@ -298,11 +339,14 @@ def most_similar(df: DataFrame, record: str = "id", vector: str = "embedding", d
     representatives = eldest.filter("nth = 1").select("id", "h1", "h2")
     others = durable(members.join(representatives.select("id"), "id", "left_anti").select("id"))
     vectors = rows.join(broadcast_below(others, MAX_BROADCAST_ROWS), "id", "left_anti")
-    pairs = candidate_pairs(vectors, representatives.count(), dims)
+    pairs, crowds = candidate_pairs(vectors, representatives.count(), dims)
     similar = exact_cosines(vectors, pairs, dims).filter(F.col("similarity") >= least).dropDuplicates(["a", "b"])
     both = similar.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "similarity")
+    both = both.select("p.x", "p.y", "similarity")
+    if crowds is not None:
+        both = both.unionByName(crowd_cosines(vectors, crowds, dims, k, least))
     own = representatives.select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
-    groups = both.select("p.x", "p.y", F.round("similarity", 9).alias("similarity")).unionByName(own)
+    groups = both.select("x", "y", F.round("similarity", 9).alias("similarity")).unionByName(own)
     copies = eldest.join(representatives.select(F.col("id").alias("y"), "h1", "h2"), ["h1", "h2"]).select("y", F.col("id").alias("neighbour"))
     ranked = W.partitionBy("x").orderBy(F.col("similarity").desc(), "neighbour")
     nearest = groups.join(copies, "y").withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k + 1)

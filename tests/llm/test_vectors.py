@@ -66,3 +66,13 @@ def test_bitmap_agrees_with_the_database_functions(spark):
     bitmap = vectors._existing(df.select(F.col("bit")))
     probe = np.array([*bits, 2, 5000, 32770, 2**25 - 2])
     assert vectors._held(bitmap, probe).tolist() == [True] * len(bits) + [False] * 4
+
+
+def test_crowds_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BUCKET", 15)
+    monkeypatch.setattr(vectors, "BLOCK", 500, raising=False)
+    r = np.random.default_rng(11)
+    far, near = r.normal(size=(300, 32)), r.normal(size=(1, 32)) + 0.23 * r.normal(size=(1200, 32))  # most at a cosine of about 0.95
+    x = np.concatenate([far, near]).astype(np.float32)
+    want = brute(x)
+    assert len(found(spark, x, 32) & want) / len(want) >= 0.995
