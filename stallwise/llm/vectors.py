@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from ..operators.sizes import broadcast_below
 from ..session import durable
 
-TABLES = 10
+TABLES = 10  #: at TABLES_AT projections or fewer; with more there are more, see tables_for
+TABLES_AT = 15
+SURE_COSINE = 0.8  #: a pair of this cosine is as likely to meet at any number of projections
 PROBES = 20
 WIDTH = 2.3  #: of a quantisation step, for vectors of length 1
 BUCKET = 400  #: different vectors a bucket may hold before all that visit it are compared exactly
@@ -56,13 +58,38 @@ def probe_sets(k: int, probes: int) -> tuple[tuple[int, ...], ...]:
     return tuple(found)
 
 
+@lru_cache(maxsize=64)
+def meeting_chance(k: int) -> float:
+    """The chance that two vectors at ``SURE_COSINE`` meet in a table of k projections, by own or probed bucket, from 100,000 draws."""
+    rng = np.random.default_rng([SEED, k])
+    x = rng.uniform(size=(100_000, k))
+    y = x + rng.normal(size=x.shape) * math.sqrt(2 - 2 * SURE_COSINE) / WIDTH
+    of_rank = rng.integers(1, 2**63, size=2 * k, dtype=np.uint64)
+    visited = np.array([0, *(sum(map(int, of_rank[list(chosen)])) % 2**64 for chosen in probe_sets(k, PROBES))], dtype=np.uint64)
+    met = np.zeros(len(x), dtype=bool)
+    for a, b in ((x, y), (y, x)):
+        inside, step = a - np.floor(a), np.floor(b) - np.floor(a)
+        order = np.argsort(np.concatenate([inside**2, (1 - inside) ** 2], axis=1), axis=1)
+        needed = np.take_along_axis(np.concatenate([step == -1, step == 1], axis=1), order, axis=1)
+        with np.errstate(over="ignore"):
+            met |= np.isin((needed * of_rank).sum(axis=1, dtype=np.uint64), visited) & (np.abs(step) <= 1).all(axis=1)
+    return float(met.mean())
+
+
+def tables_for(k: int) -> int:
+    """Tables with which a pair at ``SURE_COSINE`` is found as surely as with ``TABLES`` at ``TABLES_AT`` projections."""
+    if k <= TABLES_AT:
+        return TABLES
+    return math.ceil(TABLES * math.log1p(-meeting_chance(TABLES_AT)) / math.log1p(-meeting_chance(k)))
+
+
 @lru_cache(maxsize=8)
-def _directions(dims: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _directions(dims: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Projections and offsets of all tables, odd multipliers that turn buckets into keys, and the sketch's planes."""
     rng = np.random.default_rng([SEED, 0])
-    a = rng.normal(size=(dims, TABLES * k)).astype(np.float32) / np.float32(WIDTH)
-    b = rng.uniform(0, 1, size=TABLES * k).astype(np.float32)
-    odd = rng.integers(0, 2**63, size=TABLES * k, dtype=np.uint64) | np.uint64(1)
+    a = rng.normal(size=(dims, tables * k)).astype(np.float32) / np.float32(WIDTH)
+    b = rng.uniform(0, 1, size=tables * k).astype(np.float32)
+    odd = rng.integers(0, 2**63, size=tables * k, dtype=np.uint64) | np.uint64(1)
     return a, b, odd, np.random.default_rng(SEED + 1).normal(size=(dims, 128)).astype(np.float32)
 
 
@@ -71,18 +98,18 @@ def _matrix(batch: pa.RecordBatch, dims: int) -> np.ndarray:
     return flat.reshape(-1, dims).astype(np.float64)
 
 
-def hash_keys(x: np.ndarray, k: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_keys(x: np.ndarray, k: int, tables: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys (rows, tables) and the keys of the probed buckets (rows, tables, probes) of unit vectors."""
-    a, b, odd, _ = _directions(x.shape[1], k)
+    a, b, odd, _ = _directions(x.shape[1], k, tables)
     at = x.astype(np.float32) @ a + b
     cell = np.floor(at)
-    inside = (at - cell).reshape(len(x), TABLES, k)
+    inside = (at - cell).reshape(len(x), tables, k)
     with np.errstate(over="ignore"):
         steps = cell.astype(np.int64).astype(np.uint64) * odd
-        own = steps.reshape(len(x), TABLES, k).sum(axis=2, dtype=np.uint64) + np.arange(TABLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        own = steps.reshape(len(x), tables, k).sum(axis=2, dtype=np.uint64) + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         distance = np.concatenate([inside**2, (1 - inside) ** 2], axis=2)
         order = np.argsort(distance, axis=2)
-        multiplier = odd.reshape(1, TABLES, k)
+        multiplier = odd.reshape(1, tables, k)
         shift = np.concatenate([np.broadcast_to(np.uint64(0) - multiplier, inside.shape), np.broadcast_to(multiplier, inside.shape)], axis=2)
         ranked = np.take_along_axis(shift, order, axis=2)
         probed = [own + reduce(np.add, [ranked[:, :, i] for i in chosen]) for chosen in probe_sets(k, probes)]
@@ -129,16 +156,16 @@ def _members(rows: DataFrame, dims: int) -> DataFrame:
     return rows.mapInArrow(work, "id long, h1 long, h2 long")
 
 
-def _base_buckets(vectors: DataFrame, dims: int, k: int) -> DataFrame:
+def _base_buckets(vectors: DataFrame, dims: int, k: int, tables: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, m = _sound(batch, dims)
             x = _unit(m)
-            own, _ = hash_keys(x, k, 0)
-            bits = sketch(x, _directions(dims, k)[3])
-            columns = [own.reshape(-1).view(np.int64), np.repeat(ids, TABLES), *[np.repeat(bits[:, i], TABLES) for i in (0, 1)], _bit(own.reshape(-1))]
+            own, _ = hash_keys(x, k, tables, 0)
+            bits = sketch(x, _directions(dims, k, tables)[3])
+            columns = [own.reshape(-1).view(np.int64), np.repeat(ids, tables), *[np.repeat(bits[:, i], tables) for i in (0, 1)], _bit(own.reshape(-1))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "s1", "s2", "bit"])
 
     return vectors.mapInArrow(work, "bucket long, id long, s1 long, s2 long, bit long")
@@ -160,19 +187,20 @@ def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[part, position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1
 
 
-def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, bitmap: np.ndarray) -> DataFrame:
+def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, tables: int, bitmap: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast(bitmap)  # of fixed size
+    step = max(1, 2000 * TABLES // tables)  # vectors probed at a time, so that memory stays the same
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 ids, m = _sound(batch, dims)
                 x = _unit(m)
-                _, probed = hash_keys(x, k, PROBES)
+                _, probed = hash_keys(x, k, tables, PROBES)
                 flat = probed.reshape(-1)
                 hit = np.flatnonzero(_held(shared.value, _bit(flat)))
-                rows = hit // (TABLES * PROBES)
-                bits = sketch(x, _directions(dims, k)[3])
+                rows = hit // (tables * PROBES)
+                bits = sketch(x, _directions(dims, k, tables)[3])
                 columns = [flat[hit].view(np.int64), ids[rows], bits[rows, 0], bits[rows, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "s1", "s2"])
 
@@ -184,9 +212,10 @@ def candidate_pairs(vectors: DataFrame, count: int, dims: int) -> tuple[DataFram
 
     Crowds are ``id`` and ``crowd``, or None without any. Pairs within a crowd are not among the pairs.
     """
-    k = max(8, math.ceil(math.log2(max(count, 2))) + 3)  # so that strangers met by a vector stay as few at any size
-    base = durable(_base_buckets(vectors, dims, k))
-    probes = _probes(vectors.sparkSession, vectors, dims, k, _existing(base))
+    k = max(8, math.ceil(math.log2(max(count, 2))) + 3)  # so that strangers met in a table stay as few at any size
+    tables = tables_for(k)
+    base = durable(_base_buckets(vectors, dims, k, tables))
+    probes = _probes(vectors.sparkSession, vectors, dims, k, tables, _existing(base))
     base = base.drop("bit")
     hot = durable(base.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > BUCKET))
     crowds = None

@@ -76,3 +76,15 @@ def test_crowds_lose_nothing(spark, monkeypatch):
     x = np.concatenate([far, near]).astype(np.float32)
     want = brute(x)
     assert len(found(spark, x, 32) & want) / len(want) >= 0.995
+
+
+@pytest.mark.parametrize("k", [15, 19, 22])
+def test_chance_of_meeting_is_the_same_at_any_size(k):
+    tables = getattr(vectors, "tables_for", lambda _: vectors.TABLES)(k)
+    r = np.random.default_rng(5)
+    x, other = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in r.normal(size=(2, 600, 64)))
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    y = 0.8 * x + 0.6 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    (own_x, probed_x), (own_y, probed_y) = (vectors.hash_keys(v, k, tables, vectors.PROBES) for v in (x, y))
+    met = (own_x == own_y) | (probed_x == own_y[:, :, None]).any(axis=2) | (probed_y == own_x[:, :, None]).any(axis=2)
+    assert met.any(axis=1).mean() >= 0.95
