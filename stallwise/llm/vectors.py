@@ -4,7 +4,7 @@ A vector's unit form is projected on Gaussian directions; a table's bucket is th
 Besides its own bucket, a vector visits those next to it in the order of their estimated chance of holding neighbours.
 The candidates of all tables are merged and reranked by exact cosine.
 
-Copies of a vector are handled once: one representative is hashed, and the copies with the smallest ids stand for all.
+Copies of a vector, scaled ones included, are handled once: one representative is hashed, and the copies with the smallest ids stand for all.
 Vectors that meet in a bucket with too many different vectors are a crowd with all that these meet in other such buckets.
 A crowd is compared block by block, all blocks with all blocks, by exact cosine; nothing of it is left out.
 """
@@ -143,13 +143,13 @@ def _sound(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _members(rows: DataFrame, dims: int) -> DataFrame:
-    """``id`` and a 128-bit hash ``h1``, ``h2`` of each sound vector."""
+    """``id`` and a 128-bit hash ``h1``, ``h2`` of each sound vector's unit form; 11 digits, so that its copies are equal to the nine of a similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids, m = _sound(batch, dims)
-                digest = b"".join(hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in m + 0.0)
+                digest = b"".join(hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in np.round(_unit(m), 11) + 0.0)
                 halves = np.frombuffer(digest, dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "h1", "h2"])
 

@@ -88,3 +88,18 @@ def test_chance_of_meeting_is_the_same_at_any_size(k):
     (own_x, probed_x), (own_y, probed_y) = (vectors.hash_keys(v, k, tables, vectors.PROBES) for v in (x, y))
     met = (own_x == own_y) | (probed_x == own_y[:, :, None]).any(axis=2) | (probed_y == own_x[:, :, None]).any(axis=2)
     assert met.any(axis=1).mean() >= 0.95
+
+
+def test_all_but_equal_vectors_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BUCKET", 40)
+    monkeypatch.setattr(vectors, "BLOCK", 100, raising=False)
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(1, 32)) + 3e-4 * r.normal(size=(300, 32))).astype(np.float32)
+    assert found(spark, x, 32) == brute(x)
+
+
+def test_scaled_copies_are_copies(spark):
+    v = np.random.default_rng(9).normal(size=32).astype(np.float32)
+    df = spark.createDataFrame([(i, (v * np.float32(s)).tolist()) for i, s in enumerate([1, 2, 0.25, -1])], "id long, embedding array<float>")
+    hashes = {r.id: (r.h1, r.h2) for r in vectors._members(df, 32).collect()}
+    assert hashes[0] == hashes[1] == hashes[2] != hashes[3]
