@@ -24,7 +24,6 @@ LEAST = 0.0667  #: smallest unit, in logarithms
 AXES = 3.0  #: half-axes of the ellipsoid in units
 OWN = 2.5  #: units by which the deviation itself must exceed
 BOUND = math.log(8)  #: a brief factor beyond this is impossible for any source
-ROUNDS = 2  #: rounds of the ellipsoid
 STUCK_CHANCE = 0.05  #: expected number of equally long runs in a source's readings, below which a run is stuck
 STUCK_LEAST = 6
 MOVES = 0.4  #: share of a source's readings in stock that must change the price for a run to be suspicious
@@ -119,12 +118,12 @@ def impossible_readings(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
     level = _median(F.concat("before", "after"))
     judged = _around(readings, order).withColumn("spike", F.coalesce(F.abs(F.col("y") - level) > BOUND, F.lit(False))).drop("before", "after")
     flagged = []
-    for _ in range(ROUNDS):
+    while True:  # a round takes a reading out or is the last
         judged = durable(judged)
         flagged.append(judged.filter("own AND spike").select("listing_id", "at_us", "price"))
+        if len(flagged) > 1 and judged.filter("spike").isEmpty():
+            break
         judged = _outside(_points(judged.filter("NOT spike").drop("spike"), order)).select(*readings.columns, "spike")
-    judged = durable(judged)
-    flagged.append(judged.filter("own AND spike").select("listing_id", "at_us", "price"))
     flagged.append(_stuck(judged.filter("NOT spike").drop("spike"), order))
     found = flagged[0]
     for more in flagged[1:]:

@@ -48,3 +48,11 @@ def test_nulls_and_empty(spark):
     assert impossible_readings(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = [(1, None, None, -5.0, None, None, None, None, None), (2, 1, None, None, None, DAY, None, None, None), (3, 1, None, 5.0, None, None, None, None, None)]
     assert [r.snap_id for r in impossible_readings(spark.createDataFrame(odd, SCHEMA)).collect()] == [1]
+
+
+def test_rounds_go_on_until_nothing_is_found(spark):
+    rows, at = [], {8: 7.03, 18: 1.86, 28: 1.225}  # each kind hides the next in the merchant's quantiles
+    for listing in range(1, 31):
+        rows += series(listing, 1, [1000.0 * at.get(i, 1.0) for i in range(40)], first=100 * listing)
+    got = {r.snap_id for r in impossible_readings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {100 * listing + i for listing in range(1, 31) for i in at}
