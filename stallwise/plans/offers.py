@@ -533,7 +533,9 @@ def visits_by_gap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def titles_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Titles of the categories that have a grammar, read with the brands of the reference list, a fixed table."""
-    brands = [r[0] for r in table(spark, d, "brand_reference").select("brand_name").limit(1001).collect()][:1000]
+    brands = [r[0] for r in table(spark, d, "brand_reference").select("brand_name").limit(1001).collect()]
+    if len(brands) > 1000:
+        raise ValueError("more than 1000 reference brands; titles would be read without the rest")
     leaves = sorted({"phones", "tablets", "laptops", "tvs", "refrigerators", "kettles", "blenders", "audio", "inverters", "solar-batteries"})
     raw = table(spark, d, "raw_listing").select("seq", "category_slug", "title", "description")
     return titles.parsed_offers(raw, "title", leaves, brands, "description").select("seq", "category_slug", "parsed.brand", "parsed.canonical_key")

@@ -167,3 +167,12 @@ def test_stored_result(spark, tmp_path):
     for hours in (0, 1, 30):
         assert stored_result(spark, str(tmp_path / "r"), build, now + datetime.timedelta(hours=hours)).count() == 2
     assert len(calls) == 2
+
+
+def test_too_many_brands_are_not_cut(spark, tmp_path):
+    from stallwise.plans.offers import titles_parsed
+
+    spark.range(1001).selectExpr("concat('brand ', id) AS brand_name").write.parquet(str(tmp_path / "brand_reference.parquet"))
+    spark.createDataFrame([], "seq long, category_slug string, title string, description string").write.parquet(str(tmp_path / "raw_listing.parquet"))
+    with pytest.raises(ValueError, match="1000"):
+        titles_parsed(spark, str(tmp_path))
