@@ -187,6 +187,13 @@ def _pieces(texts: list[str]) -> Iterator[list[str]]:
         yield piece
 
 
+def _first_sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first ``SAMPLE_SENTENCES`` sentences of each text that have words enough, as words."""
+    for batch in batches:
+        usable = [[w for s in sentences(t) if len((w := words_of(s)).strip()) >= 20][:SAMPLE_SENTENCES] for t in batch["text"]]
+        yield pd.DataFrame({"language": batch["language"], "place": batch["place"], "usable": usable})
+
+
 def fit(documents: DataFrame) -> Model | None:
     """The model, or None if no language has enough labelled documents. ``documents``: doc_id, text, lang.
 
@@ -199,10 +206,9 @@ def fit(documents: DataFrame) -> Model | None:
     labelled = documents.withColumn("language", label_language(F.col("lang"))).filter(f"language != '{NO_LANGUAGE}' AND length(trim(text)) > 40")
     order = W.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = labelled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCUMENTS)
-    rows = sample.select("language", F.substring("text", 1, 4000).alias("text"), "doc_id").orderBy("language", "place").collect()
+    rows = sample.select("language", "place", "text").mapInPandas(_first_sentences, "language string, place int, usable array<string>").orderBy("language", "place").collect()
     texts: dict[str, list[str]] = {}
-    for language, text, _ in rows:
-        usable = [w for s in sentences(text) if len((w := words_of(s)).strip()) >= 20][:SAMPLE_SENTENCES]
+    for language, _, usable in rows:
         texts.setdefault(language, []).extend(usable)
     texts = {k: v for k, v in sorted(texts.items()) if len(v) >= LEAST_DOCUMENTS}
     if not texts:

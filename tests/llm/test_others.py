@@ -207,3 +207,10 @@ def test_survivors_equal_sql(spark):
         con.sql(f"create view {name} as select * from '{data}/{name}.parquet'")
     got = sorted(tuple(r) for r in queries.p6_found(spark, data).collect())
     assert got == sorted(con.sql(queries.P6_SQL).fetchall())
+
+
+def test_sentences_far_into_a_text_are_sampled(spark):
+    text = "1 2. " * 1000 + "The river runs slowly past the old village church. Nobody remembers who built the wooden bridge."
+    df = spark.createDataFrame([(i, text, "en") for i in range(6)], "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert model is not None and set(model.languages) == {"en"}
