@@ -25,24 +25,28 @@ def with_slices(df: DataFrame, key: str, position: str, rows_per_slice: int = RO
     """``df`` with its hot keys cut into slices along ``position``, a BIGINT column; equal positions stay together.
 
     The counts are combined map-side before the shuffle and written once: there is at most one hot key for every
-    ``rows_per_slice`` rows. They are joined without a hint, so the adaptive planner broadcasts them only below its
-    size limit. Without a hot key, the usual case, nothing is joined and the rows are not written. Null keys form
-    one key. Slices are even in ``position``, not in rows; where rows bunch, slices are uneven.
+    ``rows_per_slice`` rows. Slices end at quantiles of a key's positions, so they are even in rows, wherever these bunch.
+    The cuts are joined without a hint, so the adaptive planner broadcasts them only below its size limit. Without a hot
+    key, the usual case, nothing is joined and the rows are not written. Null keys form one key.
     """
     hot = durable(
         df.groupBy(F.col(key).alias("hot_key"))
-        .agg(F.count(F.lit(1)).alias("hot_rows"), F.min(position).alias("hot_from"), F.max(position).alias("hot_to"))
+        .agg(F.count(F.lit(1)).alias("hot_rows"))
         .filter(F.col("hot_rows") > rows_per_slice)
         .withColumn("hot_slices", F.ceil(F.col("hot_rows") / F.lit(rows_per_slice)).cast("int"))
     )
-    if hot.isEmpty():
+    most = hot.agg(F.max("hot_slices")).first()[0]
+    if most is None:
         return Sliced(df.withColumns({"slice_no": F.lit(0), "slice_of": F.lit(1)}), False)
-    width = (F.col("hot_to") - F.col("hot_from") + 1) / F.col("hot_slices")
-    number = F.floor((F.col(position) - F.col("hot_from")) / width).cast("int")
+    same = F.col(key).eqNullSafe(F.col("hot_key"))
+    quantiles = F.percentile_approx(position, [i / most for i in range(1, most)], max(10_000, 20 * most))
+    ends = F.expr("transform(sequence(1, hot_slices - 1), i -> hot_quantiles[cast(floor(i * (size(hot_quantiles) + 1) / hot_slices) as int) - 1])")
+    cuts = durable(df.join(hot, same).groupBy("hot_key", "hot_slices").agg(quantiles.alias("hot_quantiles")).select("hot_key", F.array_distinct(ends).alias("hot_cuts")))
+    number = F.size(F.filter("hot_cuts", lambda cut: cut < F.col(position)))
     rows = (
-        df.join(hot, F.col(key).eqNullSafe(F.col("hot_key")), "left")
-        .withColumns({"slice_no": F.coalesce(number, F.lit(0)), "slice_of": F.coalesce("hot_slices", F.lit(1))})
-        .drop("hot_key", "hot_rows", "hot_from", "hot_to", "hot_slices")
+        df.join(cuts, same, "left")
+        .withColumns({"slice_no": F.when(F.col("hot_cuts").isNull(), 0).otherwise(number), "slice_of": F.when(F.col("hot_cuts").isNull(), 1).otherwise(F.size("hot_cuts") + 1)})
+        .drop("hot_key", "hot_cuts")
     )
     return Sliced(durable(rows), True)
 

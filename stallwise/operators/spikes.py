@@ -2,25 +2,33 @@
 
 Phase-space thresholding: a reading is a point of its deviation from the level around it, its first and its second
 difference. For every source, robust half-axes from high quantiles span an ellipsoid; a point outside of it whose own
-deviation is large is a spike. Spikes are removed and the rest is judged again. Bounds catch impossible amounts, and runs
-without any difference catch values that got stuck.
+deviation is large is a spike. Spikes are removed and the rest is judged again, until a round finds none. Bounds catch
+impossible amounts, and runs without any difference catch values that got stuck.
+
+The readings are shuffled once, into one row with arrays for every listing (or slice of a hot one). A round is then two
+map-only passes over these rows, vectorised over whole Arrow batches: one counts the sources' deviations on a fine grid,
+the other holds the readings against the units that follow from the counts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import durable
 from .sizes import broadcast_below
-from .skew import ROWS_PER_SLICE, micros, with_halo, with_slices
+from .skew import micros, with_halo, with_slices
 
 SIDE = 3  #: readings before and after that make the level around a reading; an excursion of up to two is brief
 QUANTILE = 0.97  #: of a source's deviations and differences, to each side: the unit of the half-axes
 LEAST = 0.0667  #: smallest unit, in logarithms
+GRID = 0.0005  #: step of the grid on which deviations are counted, in logarithms
 AXES = 3.0  #: half-axes of the ellipsoid in units
 OWN = 2.5  #: units by which the deviation itself must exceed
 BOUND = math.log(8)  #: a brief factor beyond this is impossible for any source
@@ -28,55 +36,209 @@ STUCK_CHANCE = 0.05  #: expected number of equally long runs in a source's readi
 STUCK_LEAST = 6
 MOVES = 0.4  #: share of a source's readings in stock that must change the price for a run to be suspicious
 HALO = 100  #: rows seen across the cuts of a hot listing: more than the longest run that can be needed for suspicion
-MAX_SOURCES = 100_000  #: sources above which their scales are joined by a shuffle
+ROWS_PER_SLICE = 50_000  #: readings of one listing in a row of arrays
+MAX_SOURCES = 100_000  #: sources above which their units are joined by a shuffle
 
+AXIS_NAMES = ("unit_up", "unit_down", "unit_1", "unit_2")
+SERIES = "listing_id long, slice_no int, source long, fresh int, at_us array<long>, price array<double>, moving array<boolean>, own array<boolean>, spike array<boolean>"
 
-def _median(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    low, high = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2).cast("int") + 1
-    return F.when(n > 0, (F.try_element_at(ordered, low) + F.try_element_at(ordered, high)) / 2)
 
+class _Flat:
+    """The readings of a batch of series one after the other, and the series each belongs to."""
 
-def _around(rows: DataFrame, order: W) -> DataFrame:
-    """Adds the values before and after each reading within ``SIDE`` rows."""
-    return rows.withColumns(
-        {
-            "before": F.collect_list("y").over(order.rowsBetween(-SIDE, -1)),
-            "after": F.collect_list("y").over(order.rowsBetween(1, SIDE)),
-        }
-    )
+    def __init__(self, batch: pa.RecordBatch):
+        self.offsets = batch.column("at_us").offsets.to_numpy() - batch.column("at_us").offsets[0].as_py()
+        self.row = np.repeat(np.arange(batch.num_rows), np.diff(self.offsets))
+        self.values = {name: batch.column(name).flatten().to_numpy(zero_copy_only=False) for name in ("at_us", "price", "moving", "own", "spike")}
 
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.values[name]
 
-def _points(rows: DataFrame, order: W) -> DataFrame:
-    """Each reading as a point: ``u`` (deviation to one side of the levels before and after), ``d1`` and ``d2``."""
-    level_b, level_a = _median(F.col("before")), _median(F.col("after"))
-    up, down = F.col("y") - F.greatest(level_b, level_a), F.least(level_b, level_a) - F.col("y")
-    u = F.when((F.size("before") == 0) | (F.size("after") == 0), 0.0).when(up > 0, up).when(down > 0, -down).otherwise(0.0)
-    last, following = F.try_element_at(F.col("before"), F.lit(-1)), F.get(F.col("after"), F.lit(0))
-    d1 = F.col("y") - F.coalesce(last, F.col("y"))
-    d2 = F.coalesce(following, F.col("y")) - 2 * F.col("y") + F.coalesce(last, F.col("y"))
-    return _around(rows, order).withColumns({"u": u, "d1": d1, "d2": d2})
-
-
-def _scales(points: DataFrame) -> DataFrame:
-    """A source's units, from its readings in stock; sources without any have none and take the smallest unit."""
-    high = lambda c: F.percentile_approx(c, QUANTILE, 1000)
-    return points.filter("own AND moving").groupBy("source").agg(
-        high(F.greatest("u", F.lit(0.0))).alias("unit_up"),
-        high(F.greatest(-F.col("u"), F.lit(0.0))).alias("unit_down"),
-        high(F.abs("d1")).alias("unit_1"),
-        high(F.abs("d2")).alias("unit_2"),
-    )
+
+def _neighbours(y: np.ndarray, row: np.ndarray, steps: range) -> np.ndarray:
+    """The readings at the given distances, a column for each; NaN beyond the ends of a series."""
+    out = np.full((len(y), len(steps)), np.nan)
+    for column, step in enumerate(steps):
+        here = slice(step, None) if step > 0 else slice(None, step)
+        there = slice(None, -step) if step > 0 else slice(-step, None)
+        same = row[here] == row[there]
+        out[there, column] = np.where(same, y[here], np.nan)
+    return out
+
+
+def _medians(values: np.ndarray) -> np.ndarray:
+    """Row-wise medians of what isn't NaN; NaN where nothing is."""
+    ordered, n = np.sort(values, axis=1), (~np.isnan(values)).sum(axis=1)
+    at = np.arange(len(values))
+    return (ordered[at, np.maximum(n - 1, 0) // 2] + ordered[at, n // 2]) / 2
+
+
+def _points(y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each reading as a point: deviation to one side of the levels before and after, first and second difference."""
+    before, after = _neighbours(y, row, range(-SIDE, 0)), _neighbours(y, row, range(1, SIDE + 1))
+    levels = np.stack([_medians(before), _medians(after)])
+    with np.errstate(invalid="ignore"):
+        up, down = y - levels.max(axis=0), levels.min(axis=0) - y
+        u = np.where(up > 0, up, np.where(down > 0, -down, 0.0))
+    last, following = (np.where(np.isnan(v), y, v) for v in (before[:, -1], after[:, 0]))
+    return u, y - last, following - 2 * y + last
+
+
+def _impossible(y: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether a reading is a factor beyond the bound away from the readings around it."""
+    level = _medians(_neighbours(y, row, [s for s in range(-SIDE, SIDE + 1) if s]))
+    with np.errstate(invalid="ignore"):
+        return np.abs(y - level) > BOUND
+
+
+def _series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Readings in order become one row a listing and slice; a series may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("listing_id", "slice_no")])
+        fresh = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        first = [batch.column(c)[0].as_py() for c in ("listing_id", "slice_no")]
+        if held and first != [held[-1].column(c)[0].as_py() for c in ("listing_id", "slice_no")]:
+            yield _gathered(held)
+            held = []
+        if len(fresh):
+            yield _gathered([*held, batch.slice(0, int(fresh[-1]))])
+            held = []
+        last = batch.slice(int(fresh[-1]) if len(fresh) else 0)
+        held.append(last)
+    if held:
+        yield _gathered(held)
 
 
-def _outside(points: DataFrame) -> DataFrame:
-    units = broadcast_below(durable(_scales(points)), MAX_SOURCES)
-    least = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(LEAST)), F.lit(LEAST))
-    unit = F.when(F.col("u") > 0, least("unit_up")).otherwise(least("unit_down"))
-    radius = F.pow(F.col("u") / unit, 2) + F.pow(F.col("d1") / least("unit_1"), 2) + F.pow(F.col("d2") / least("unit_2"), 2)
-    spike = (radius > AXES**2) & (F.abs("u") > OWN * unit)
-    return points.join(units, "source", "left").withColumn("spike", spike)
+def _gathered(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+    keys = np.stack([rows.column(c).to_numpy() for c in ("listing_id", "slice_no")])
+    starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1])
+    offsets = np.append(starts, rows.num_rows).astype(np.int32)
+    source = np.maximum.reduceat(rows.column("merchant_id").to_numpy(), starts)
+    row = np.repeat(np.arange(len(starts)), np.diff(offsets))
+    spike = _impossible(np.log(rows.column("price").to_numpy()), row)
+    fresh = np.add.reduceat(spike.astype(np.int32), starts).astype(np.int32)
+    listed = {name: rows.column(name) for name in ("at_us", "price", "moving", "own")} | {"spike": pa.array(spike)}
+    columns = [pa.array(keys[0][starts]), pa.array(keys[1][starts].astype(np.int32)), pa.array(source), pa.array(fresh)]
+    columns += [pa.ListArray.from_arrays(pa.array(offsets), values) for values in listed.values()]
+    return pa.RecordBatch.from_arrays(columns, names=["listing_id", "slice_no", "source", "fresh", *listed])
+
+
+def _over(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch, _Flat], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows and (made := work(batch, _Flat(batch))) is not None:
+            yield made
+
+
+def _counted(keys: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    found, n = np.unique(np.stack(keys), axis=1, return_counts=True) if len(keys[0]) else (np.zeros((len(keys), 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
+    return pa.RecordBatch.from_arrays([*map(pa.array, found.astype(np.int64)), pa.array(n.astype(np.int64))], names=names)
+
+
+def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each source's readings in stock deviate by so many steps of the grid, on each axis."""
+
+    def count(batch: pa.RecordBatch, flat: _Flat) -> pa.RecordBatch:
+        alive = np.flatnonzero(~flat["spike"])
+        u, d1, d2 = _points(np.log(flat["price"][alive]), flat.row[alive])
+        ours = (flat["own"] & flat["moving"])[alive]
+        source = batch.column("source").to_numpy()[flat.row[alive][ours]]
+        sizes = [np.maximum(u, 0)[ours], np.maximum(-u, 0)[ours], np.abs(d1)[ours], np.abs(d2)[ours]]
+        step = [np.where(s <= LEAST, 0, np.ceil(s / GRID)).astype(np.int64) for s in sizes]
+        axis = np.repeat(np.arange(len(sizes)), len(source))
+        return _counted([np.tile(source, len(sizes)), axis, np.concatenate(step)], ["source", "axis", "step", "n"])
+
+    yield from _over(batches, count)
+
+
+def _units(series: DataFrame) -> DataFrame:
+    """A source's units, from its readings in stock; sources without any have none and take the smallest unit.
+
+    The counts are summed map-side first; a source has at most as many steps as logarithms of prices span.
+    """
+    counts = series.mapInArrow(_deviations, "source long, axis long, step long, n long").groupBy("source", "axis", "step").agg(F.sum("n").alias("n"))
+    axis = W.partitionBy("source", "axis")
+    upto = F.sum("n").over(axis.orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    reached = counts.withColumns({"upto": upto, "all": F.sum("n").over(axis)}).filter(F.col("upto") >= F.col("all") * QUANTILE)
+    unit = [F.greatest(F.min(F.when(F.col("axis") == i, F.col("step"))) * GRID, F.lit(LEAST)).alias(name) for i, name in enumerate(AXIS_NAMES)]
+    return reached.groupBy("source").agg(*unit)
+
+
+def _with(series: DataFrame, by_source: DataFrame) -> DataFrame:
+    """``series`` with what is known of their sources; each row is a whole series, so a shuffle may reorder them."""
+    return series.join(broadcast_below(durable(by_source), MAX_SOURCES), "source", "left")
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The series with the readings marked that lie outside of their source's ellipsoid."""
+
+    def judge(batch: pa.RecordBatch, flat: _Flat) -> pa.RecordBatch:
+        alive = np.flatnonzero(~flat["spike"])
+        row = flat.row[alive]
+        u, d1, d2 = _points(np.log(flat["price"][alive]), row)
+        units = [np.nan_to_num(batch.column(name).to_numpy(zero_copy_only=False).astype(float), nan=LEAST)[row] for name in AXIS_NAMES]
+        own_unit = np.where(u > 0, units[0], units[1])
+        outside = ((u / own_unit) ** 2 + (d1 / units[2]) ** 2 + (d2 / units[3]) ** 2 > AXES**2) & (np.abs(u) > OWN * own_unit)
+        spike = flat["spike"].copy()
+        spike[alive[outside]] = True
+        fresh = np.bincount(row[outside], minlength=batch.num_rows).astype(np.int32)
+        kept = {name: batch.column(name) for name in ("listing_id", "slice_no", "source", "at_us", "price", "moving", "own")}
+        columns = kept | {"fresh": pa.array(fresh), "spike": pa.ListArray.from_arrays(pa.array(flat.offsets.astype(np.int32)), pa.array(spike))}
+        order = [part.split()[0] for part in SERIES.split(", ")]
+        return pa.RecordBatch.from_arrays([columns[name] for name in order], names=order)
+
+    yield from _over(batches, judge)
+
+
+def _pairs(flat: _Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the readings left, whether each and the one before are in stock, and whether the price moved."""
+    alive = np.flatnonzero(~flat["spike"])
+    row, price, moving = flat.row[alive], flat["price"][alive], flat["moving"][alive]
+    joined = np.concatenate([[False], row[1:] == row[:-1]])[: len(alive)]
+    pair = joined & moving & np.concatenate([[False], moving[:-1]])[: len(alive)]
+    moved = ~joined | np.concatenate([[True], price[1:] != price[:-1]])[: len(alive)]
+    return alive, pair, moved
+
+
+def _moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbouring readings in stock by source and whether the price moved."""
+
+    def count(batch: pa.RecordBatch, flat: _Flat) -> pa.RecordBatch:
+        alive, pair, moved = _pairs(flat)
+        ours = pair & flat["own"][alive]
+        source = batch.column("source").to_numpy()[flat.row[alive][ours]]
+        return _counted([source, moved[ours].astype(np.int64)], ["source", "moved", "n"])
+
+    yield from _over(batches, count)
+
+
+def _needed(series: DataFrame) -> DataFrame:
+    """The length from which on a run without difference is stuck, for sources that move this often."""
+    counts = series.mapInArrow(_moves, "source long, moved long, n long").groupBy("source")
+    rates = counts.agg((F.sum(F.col("moved") * F.col("n")) / F.sum("n")).alias("rate"), F.sum("n").alias("pairs")).filter(F.col("rate") >= MOVES)
+    still = F.log(F.greatest(1 - F.col("rate"), F.lit(0.02)))
+    return rates.select("source", F.greatest(F.ceil(F.log(F.lit(STUCK_CHANCE) / F.col("pairs")) / still) + 1, F.lit(STUCK_LEAST)).alias("needed"))
+
+
+def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spikes, and all readings but the first of runs in stock that are too long for their source."""
+
+    def find(batch: pa.RecordBatch, flat: _Flat) -> pa.RecordBatch:
+        alive, pair, moved = _pairs(flat)
+        needed = np.nan_to_num(batch.column("needed").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)[flat.row[alive]]
+        starts = ~pair | moved
+        run = np.cumsum(starts) - 1
+        length = np.bincount(run)[run] if len(run) else run
+        fault = flat["spike"].copy()
+        fault[alive[flat["moving"][alive] & (length >= needed) & ~starts]] = True
+        at = np.flatnonzero(fault & flat["own"])
+        listing = batch.column("listing_id").to_numpy()[flat.row[at]]
+        return pa.RecordBatch.from_arrays([pa.array(listing), pa.array(flat["at_us"][at]), pa.array(flat["price"][at])], names=["listing_id", "at_us", "price"])
+
+    yield from _over(batches, find)
 
 
 def impossible_readings(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -98,57 +260,21 @@ def impossible_readings(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
         micros(F.col("loaded_at")).alias("loaded_us"),
     ).filter(F.col("price").isNotNull())
     newest = F.struct(F.coalesce("loaded_us", F.lit(-(2**62))), F.col("snap_id"))
-    series = (
+    readings = (
         rows.filter((F.col("price") > 0) & F.col("listing_id").isNotNull() & F.col("at_us").isNotNull())
         .groupBy("listing_id", "at_us")
         .agg(F.max_by(F.struct("price", "in_stock"), newest).alias("kept"), F.max("merchant_id").alias("merchant_id"))
-        .select("listing_id", "at_us", "kept.price", "kept.in_stock", "merchant_id")
+        .select(
+            "listing_id", "at_us", "kept.price", F.coalesce("kept.in_stock", F.lit(True)).alias("moving"), F.coalesce("merchant_id", F.lit(-1)).cast("long").alias("merchant_id")
+        )
     )
-    listing, order = W.partitionBy("listing_id", "slice_no"), W.partitionBy("listing_id", "slice_no").orderBy("at_us")
-    readings = with_halo(with_slices(series, "listing_id", "at_us", rows_per_slice), "listing_id", "at_us", HALO).select(
-        "listing_id",
-        "slice_no",
-        "own",
-        "at_us",
-        "price",
-        F.log("price").alias("y"),
-        (~F.coalesce(~F.col("in_stock"), F.lit(False))).alias("moving"),
-        F.coalesce(F.max("merchant_id").over(listing), F.lit(-1)).alias("source"),
-    )
-    level = _median(F.concat("before", "after"))
-    judged = _around(readings, order).withColumn("spike", F.coalesce(F.abs(F.col("y") - level) > BOUND, F.lit(False))).drop("before", "after")
-    flagged = []
+    cut = with_halo(with_slices(readings, "listing_id", "at_us", rows_per_slice), "listing_id", "at_us", HALO)
+    ordered = cut.select("listing_id", "slice_no", "merchant_id", "at_us", "price", "moving", "own").repartition("listing_id", "slice_no").sortWithinPartitions("listing_id", "slice_no", "at_us")
+    series = durable(ordered.mapInArrow(_series, SERIES))
     while True:  # a round takes a reading out or is the last
-        judged = durable(judged)
-        flagged.append(judged.filter("own AND spike").select("listing_id", "at_us", "price"))
-        if len(flagged) > 1 and judged.filter("spike").isEmpty():
+        series = durable(_with(series, _units(series)).mapInArrow(_judged, SERIES))
+        if series.filter("fresh > 0").isEmpty():
             break
-        judged = _outside(_points(judged.filter("NOT spike").drop("spike"), order)).select(*readings.columns, "spike")
-    flagged.append(_stuck(judged.filter("NOT spike").drop("spike"), order))
-    found = flagged[0]
-    for more in flagged[1:]:
-        found = found.unionByName(more)
-    by_reading = rows.join(found.distinct(), ["listing_id", "at_us", "price"], "left_semi").select("snap_id")
+    found = _with(series, _needed(series)).mapInArrow(_faults, "listing_id long, at_us long, price double")
+    by_reading = rows.join(found, ["listing_id", "at_us", "price"], "left_semi").select("snap_id")
     return by_reading.unionByName(rows.filter(F.col("price") <= 0).select("snap_id")).distinct()
-
-
-def _stuck(readings: DataFrame, order: W) -> DataFrame:
-    """All readings but the first of runs in stock that are too long for a source that moves this often."""
-    both = F.col("moving") & F.lag("moving").over(order)
-    moved = F.col("price") != F.lag("price").over(order)
-    paired = readings.withColumns({"pair": F.coalesce(both, F.lit(False)), "moved": F.coalesce(moved, F.lit(True))})
-    rates = (
-        paired.filter("own AND pair")
-        .groupBy("source")
-        .agg(F.avg(F.col("moved").cast("double")).alias("rate"), F.count(F.lit(1)).alias("pairs"))
-        .filter(F.col("rate") >= MOVES)
-        .withColumn("still", F.log(F.greatest(1 - F.col("rate"), F.lit(0.02))))
-        .withColumn("needed", F.greatest(F.ceil(F.log(F.lit(STUCK_CHANCE) / F.col("pairs")) / F.col("still")) + 1, F.lit(STUCK_LEAST)))
-        .select("source", "needed")
-    )
-    moving_sources = broadcast_below(durable(rates), MAX_SOURCES)
-    starts = (~F.col("pair") | F.col("moved")).cast("int")
-    numbered = paired.join(moving_sources, "source").withColumn("run", F.sum(starts).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    run = W.partitionBy("listing_id", "slice_no", "run")
-    sized = numbered.withColumns({"length": F.count(F.lit(1)).over(run), "nth": F.row_number().over(run.orderBy("at_us"))})
-    return sized.filter("own AND moving AND length >= needed AND nth > 1").select("listing_id", "at_us", "price")
