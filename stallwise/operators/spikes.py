@@ -2,8 +2,8 @@
 
 Phase-space thresholding: a reading is a point of its deviation from the level around it, its first and its second
 difference. For every source, robust half-axes from high quantiles span an ellipsoid; a point outside of it whose own
-deviation is large is a spike. Spikes are removed and the rest is judged again, until a round finds none. Bounds catch
-impossible amounts, and runs without any difference catch values that got stuck.
+deviation is large is a spike, as is one beyond a bound that holds for all sources. Spikes are removed and the rest is
+judged again, until a round finds none. Amounts of zero or less are impossible, and runs without any difference catch values that got stuck.
 
 The readings are shuffled once, into one row with arrays for every listing (or slice of a hot one). A round is then two
 map-only passes over these rows, vectorised over whole Arrow batches: one counts the sources' deviations on a fine grid,
@@ -73,22 +73,17 @@ def _medians(values: np.ndarray) -> np.ndarray:
     return (ordered[at, np.maximum(n - 1, 0) // 2] + ordered[at, n // 2]) / 2
 
 
-def _points(y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each reading as a point: deviation to one side of the levels before and after, first and second difference."""
+def _points(y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each reading as a point: deviation to one side of the levels before and after, first and second difference; and
+    whether it is a factor beyond the bound away from the level around it."""
     before, after = _neighbours(y, row, range(-SIDE, 0)), _neighbours(y, row, range(1, SIDE + 1))
     levels = np.stack([_medians(before), _medians(after)])
     with np.errstate(invalid="ignore"):
         up, down = y - levels.max(axis=0), levels.min(axis=0) - y
         u = np.where(up > 0, up, np.where(down > 0, -down, 0.0))
+        beyond = np.abs(y - _medians(np.concatenate([before, after], axis=1))) > BOUND
     last, following = (np.where(np.isnan(v), y, v) for v in (before[:, -1], after[:, 0]))
-    return u, y - last, following - 2 * y + last
-
-
-def _impossible(y: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Whether a reading is a factor beyond the bound away from the readings around it."""
-    level = _medians(_neighbours(y, row, [s for s in range(-SIDE, SIDE + 1) if s]))
-    with np.errstate(invalid="ignore"):
-        return np.abs(y - level) > BOUND
+    return u, y - last, following - 2 * y + last, beyond
 
 
 def _series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +113,8 @@ def _gathered(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
     starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1])
     offsets = np.append(starts, rows.num_rows).astype(np.int32)
     source = np.maximum.reduceat(rows.column("merchant_id").to_numpy(), starts)
-    row = np.repeat(np.arange(len(starts)), np.diff(offsets))
-    spike = _impossible(np.log(rows.column("price").to_numpy()), row)
-    fresh = np.add.reduceat(spike.astype(np.int32), starts).astype(np.int32)
-    listed = {name: rows.column(name) for name in ("at_us", "price", "moving", "own")} | {"spike": pa.array(spike)}
-    columns = [pa.array(keys[0][starts]), pa.array(keys[1][starts].astype(np.int32)), pa.array(source), pa.array(fresh)]
+    listed = {name: rows.column(name) for name in ("at_us", "price", "moving", "own")} | {"spike": pa.array(np.zeros(rows.num_rows, dtype=bool))}
+    columns = [pa.array(keys[0][starts]), pa.array(keys[1][starts].astype(np.int32)), pa.array(source), pa.array(np.zeros(len(starts), dtype=np.int32))]
     columns += [pa.ListArray.from_arrays(pa.array(offsets), values) for values in listed.values()]
     return pa.RecordBatch.from_arrays(columns, names=["listing_id", "slice_no", "source", "fresh", *listed])
 
@@ -143,7 +135,7 @@ def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def count(batch: pa.RecordBatch, flat: _Flat) -> pa.RecordBatch:
         alive = np.flatnonzero(~flat["spike"])
-        u, d1, d2 = _points(np.log(flat["price"][alive]), flat.row[alive])
+        u, d1, d2, _ = _points(np.log(flat["price"][alive]), flat.row[alive])
         ours = (flat["own"] & flat["moving"])[alive]
         source = batch.column("source").to_numpy()[flat.row[alive][ours]]
         sizes = [np.maximum(u, 0)[ours], np.maximum(-u, 0)[ours], np.abs(d1)[ours], np.abs(d2)[ours]]
@@ -178,10 +170,10 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def judge(batch: pa.RecordBatch, flat: _Flat) -> pa.RecordBatch:
         alive = np.flatnonzero(~flat["spike"])
         row = flat.row[alive]
-        u, d1, d2 = _points(np.log(flat["price"][alive]), row)
+        u, d1, d2, beyond = _points(np.log(flat["price"][alive]), row)
         units = [np.nan_to_num(batch.column(name).to_numpy(zero_copy_only=False).astype(float), nan=LEAST)[row] for name in AXIS_NAMES]
         own_unit = np.where(u > 0, units[0], units[1])
-        outside = ((u / own_unit) ** 2 + (d1 / units[2]) ** 2 + (d2 / units[3]) ** 2 > AXES**2) & (np.abs(u) > OWN * own_unit)
+        outside = ((u / own_unit) ** 2 + (d1 / units[2]) ** 2 + (d2 / units[3]) ** 2 > AXES**2) & (np.abs(u) > OWN * own_unit) | beyond
         spike = flat["spike"].copy()
         spike[alive[outside]] = True
         fresh = np.bincount(row[outside], minlength=batch.num_rows).astype(np.int32)
