@@ -1,9 +1,10 @@
 """Quantities stated in free notation, converted to the common unit of a reference table.
 
-The steps are relational: extract number and unit by pattern, normalise the unit's name by a join, coalesce the unit in
-the value's text, the unit in the field's name and the usual unit of the source, then apply the factor. A unit that only
-a field's name gives, or that is missing, is held against what rows of the same category state in words: a figure of 6.8
-under ``screen_mm`` is 6.8 inches where phones are known to have 173 mm, not 7.
+The steps are relational: extract number and unit by pattern, normalise the unit's spelling by a join with the aliases,
+coalesce the unit in the value's text, the unit in the field's name and the usual unit of the source, then apply factor
+and offset. As an extension, a unit that only a field's name gives, or that is missing, is held against what rows of the
+same category state in words: a figure of 6.8 under ``screen_mm`` is 6.8 inches where phones are known to have 173 mm,
+not 7.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ SIZE_WORDS = {"ram": "ram", "memory": "ram", "rom": "storage", "storage": "stora
 NUMBER = r"\d+(?:[.,]\d+)*"
 #: A specs entry in JSON or a sloppier notation: the name, then a quoted text or a bare value.
 ENTRY = r"""["']?([A-Za-z][A-Za-z0-9_ ]*)["']?\s*[:=]\s*("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^,;{}"'\s][^,;{}"']*)"""
+MARK = "\u0001"  #: parts groups; no title holds it
 #: Widths of the value bins and their reach, in logarithms: values within about 1 % support each other.
 BIN, REACH = 0.005, 2
 #: Stated values are at most this many bins for every category and quantity, so the table is small; above, it isn't broadcast.
@@ -69,14 +71,19 @@ def _unit_pattern() -> str:
 
 
 def mention_pattern() -> str:
-    """Groups: word before, number without a unit of its own (as in 8/256GB), number, unit, word after."""
+    """A number with its unit. Groups: word before, number without a unit of its own (as in 8/256GB), number, unit, word after."""
     words = "|".join(SIZE_WORDS)
     return (
         rf"(?iu)(?<![\p{{L}}\p{{N}}.,])(?:({words})[\s:]+)?(?:({NUMBER})(?:[+/]|\s+[+/]\s+)(?={NUMBER}\s*(?:gb|tb|mb)\b))?"
-        rf"({NUMBER})[\s-]*({_unit_pattern()})(?![\p{{L}}\p{{N}}])(?!\s+\d+\s+in\b)(?:[\s-]+({words})\b)?"
+        rf"({NUMBER})[\s-]*({_unit_pattern()})(?![\p{{L}}\p{{N}}])(?:[\s-]+({words})\b)?"
     )
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The pattern's groups in a text that it matches as a whole, from one evaluation; '' for groups without part in it."""
+    return F.split(F.regexp_replace(text, pattern, MARK.join(f"${i}" for i in range(1, n + 1))), MARK)
+
+
 def parse_number(text: Column) -> Column:
     """DOUBLE of a number with decimal point or comma, or with thousands marks; null if it is none.
 
@@ -94,70 +101,59 @@ def parse_number(text: Column) -> Column:
     return cleaned.try_cast("double")
 
 
-def _spelling_key(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(text)), r"[\s-]", "")
+def alias_rows() -> list[tuple[str, str]]:
+    """(spelling, symbol) of every unit, spellings without blanks and hyphens."""
+    return [(word, symbol) for symbol, line in UNIT_ALIASES.items() for word in line.split()]
 
 
-def _symbol(text: Column) -> Column:
-    """The reference symbol of a spelling, by a map of fixed size."""
-    pairs = [F.lit(x) for symbol, line in UNIT_ALIASES.items() for word in line.split() for x in (word, symbol)]
-    return F.create_map(*pairs)[_spelling_key(text)]
+def _with_symbol(df: DataFrame, text: str, symbol: str, how: str = "left") -> DataFrame:
+    """``df`` with the reference symbol of the spelling in the column ``text``, by a join with the table of aliases."""
+    aliases = F.broadcast(df.sparkSession.createDataFrame(alias_rows(), f"alias_key string, {symbol} string"))  # of fixed size
+    return df.withColumn("alias_key", F.regexp_replace(F.lower(F.trim(text)), r"[\s-]", "")).join(aliases, "alias_key", how).drop("alias_key")
 
 
 def spec_mentions(df: DataFrame, reference: DataFrame) -> DataFrame:
     """One row for each entry of ``specs`` that names a quantity: figure, the text's unit and the name's unit."""
     listed = F.regexp_extract_all("specs", F.lit(ENTRY), F.lit(0))
     entries = df.filter(F.col("specs").isNotNull()).select("seq", "category", "source", F.posexplode(listed).alias("place", "entry"))
-    name = F.regexp_replace(F.lower(F.trim(F.regexp_extract("entry", ENTRY, 1))), " ", "_")
-    value = F.regexp_extract("entry", ENTRY, 2)
+    value = F.col("parts")[1]
     quoted = value.rlike(r"""^["']""")
     inner = F.when(quoted, F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r"\\(.)", "$1")).otherwise(F.trim(value))
     stated = rf"^\s*({NUMBER})[\s-]*(\D*?)\s*$"
-    suffix = F.regexp_extract("name", r"_([a-z]+)$", 1)
-    return (
-        entries.withColumns({"name": name, "inner": inner, "quoted": quoted})
-        .withColumn("unit_text", F.regexp_extract("inner", stated, 2))
-        .select(
-            "seq",
-            "category",
-            "source",
-            "place",
-            F.regexp_replace("name", r"_[a-z]+$", "").alias("quantity"),
-            parse_number(F.regexp_extract("inner", stated, 1)).alias("figure"),
-            _symbol(F.col("unit_text")).alias("text_unit"),
-            F.when(suffix != "", _symbol(suffix)).alias("name_unit"),
-            (~F.col("quoted") & (F.col("unit_text") == "")).alias("plain"),
-        )
+    named = (
+        entries.withColumn("parts", _groups(F.col("entry"), ENTRY, 2))
+        .withColumns({"name": F.regexp_replace(F.lower(F.trim(F.col("parts")[0])), " ", "_"), "inner": inner, "quoted": quoted})
+        .withColumns({"quantity": F.regexp_replace("name", r"_[a-z]+$", ""), "suffix": F.regexp_extract("name", r"_([a-z]+)$", 1)})
+        .join(F.broadcast(reference.select("quantity").distinct()), "quantity", "left_semi")  # a table of units
+        .filter(F.col("inner").rlike(stated))
+        .withColumn("stated", _groups(F.col("inner"), stated, 2))
+        .select("seq", "category", "source", "place", "quantity", "suffix", "quoted", parse_number(F.col("stated")[0]).alias("figure"), F.col("stated")[1].alias("unit_text"))
         .filter(F.col("figure") > 0)
-        .join(reference.select("quantity").distinct(), "quantity", "left_semi")
+    )
+    return _with_symbol(_with_symbol(named, "unit_text", "text_unit"), "suffix", "name_unit").select(
+        "seq", "category", "source", "place", "quantity", "figure", "text_unit", "name_unit", (~F.col("quoted") & (F.col("unit_text") == "")).alias("plain")
     )
 
 
 def title_mentions(df: DataFrame) -> DataFrame:
     """Each number with a unit in the title, in text order, with the words beside data sizes."""
-    pattern = F.lit(mention_pattern())
-    groups = [F.regexp_extract_all("title", pattern, F.lit(i)).alias(n) for i, n in enumerate(("before", "bare", "number", "unit", "after"), 1)]
-    whole = F.regexp_extract_all("title", pattern, F.lit(0)).alias("whole")
-    found = df.filter(F.col("title").isNotNull()).select("seq", "category", "source", F.posexplode(F.arrays_zip(whole, *groups)).alias("place", "m"))
-    network = F.col("m.whole").rlike(r"^[2-6]G")  # a mobile network's generation, not grams
-    both = F.when(F.col("m.bare") != "", F.array(F.struct(F.col("m.number").alias("n"), F.lit(0).alias("k")), F.struct(F.col("m.bare").alias("n"), F.lit(1).alias("k"))))
-    each = F.coalesce(both, F.array(F.struct(F.col("m.number").alias("n"), F.lit(0).alias("k"))))
+    found = df.filter(F.col("title").isNotNull()).select("seq", "category", "source", F.posexplode(F.regexp_extract_all("title", F.lit(mention_pattern()), F.lit(0))).alias("place", "whole"))
+    network = F.col("whole").rlike(r"^[2-6]G$")  # a mobile network's generation, not grams
+    parts = _groups(F.col("whole"), mention_pattern(), 5)
+    split = found.filter(~network).select("seq", "category", "source", "place", parts.alias("parts"))
+    split = split.select("seq", "category", "source", "place", *[F.col("parts")[i].alias(n) for i, n in enumerate(("before", "bare", "number", "unit", "after"))])
+    each = F.array(F.struct(F.col("number").alias("n"), F.lit(0).alias("k")), F.struct(F.col("bare").alias("n"), F.lit(1).alias("k")))
     word = F.create_map(*[F.lit(x) for p in SIZE_WORDS.items() for x in p])
-    hint = F.coalesce(word[F.lower(F.col("m.before"))], word[F.lower(F.col("m.after"))])
-    return (
-        found.filter(~network)
-        .select("seq", "category", "source", "place", "m", F.explode(each).alias("e"))
-        .select(
-            "seq",
-            "category",
-            "source",
-            (F.col("place") * 2 + F.col("e.k")).alias("place"),
-            parse_number(F.col("e.n")).alias("figure"),
-            _symbol(F.col("m.unit")).alias("text_unit"),
-            F.when(F.col("e.k") == 0, hint).alias("hint"),
-        )
-        .filter(F.col("figure").isNotNull() & F.col("text_unit").isNotNull())
+    hint = F.coalesce(word[F.lower(F.col("before"))], word[F.lower(F.col("after"))])
+    numbers = split.select("seq", "category", "source", "place", "unit", hint.alias("hint"), F.explode(each).alias("e")).filter("e.n != ''")
+    read = numbers.select(
+        "seq", "category", "source", (F.col("place") * 2 + F.col("e.k")).alias("place"), parse_number(F.col("e.n")).alias("figure"), "unit", F.when(F.col("e.k") == 0, F.col("hint")).alias("hint")
     )
+    return _with_symbol(read.filter(F.col("figure").isNotNull()), "unit", "text_unit", "inner").drop("unit")
+
+
+def _in_common() -> Column:
+    return F.col("figure") * F.col("factor_to_common") + F.col("offset_to_common")
 
 
 def _bin(value: Column) -> Column:
@@ -171,8 +167,8 @@ def _title_quantities(titles: DataFrame, specs: DataFrame, reference: DataFrame,
     one is what the title lacks, or what the category knows such a size to be. Lengths and screens: whichever the
     category's specs name more often. Every other unit belongs to one quantity.
     """
-    sized = titles.join(F.broadcast(reference.select("quantity", F.col("unit_symbol").alias("text_unit"), "factor_to_common")), "text_unit")
-    sized = sized.withColumn("common", F.col("figure") * F.col("factor_to_common")).filter(F.col("common") > 0)
+    sized = titles.join(F.broadcast(reference.withColumnRenamed("unit_symbol", "text_unit").drop("common_unit")), "text_unit")
+    sized = durable(sized.withColumn("common", _in_common()).filter(F.col("common") > 0).drop("factor_to_common", "offset_to_common"))
     data, others = sized.filter(F.col("quantity").isin("ram", "storage")), sized.filter(~F.col("quantity").isin("ram", "storage"))
     named = broadcast_below(durable(specs.groupBy("category", "quantity").agg(F.count(F.lit(1)).alias("named"))), MAX_BROADCAST_ROWS)
     most = W.partitionBy("seq", "place").orderBy(F.col("named").desc_nulls_last(), "quantity")
@@ -220,30 +216,26 @@ def common_quantities(parsed: DataFrame, raw: DataFrame, reference: DataFrame) -
     """Every quantity that specs or title state: ``seq``, ``quantity``, ``common_value`` (BIGINT) and ``in_order``.
 
     ``parsed`` has ``seq`` and ``specs``; ``raw`` has ``seq``, ``title``, ``category_slug`` and ``merchant_slug``;
-    ``reference`` has the units with their factors and is small. The figure in specs counts, else the title's first.
+    ``reference`` has the units with their factors, perhaps offsets (``offset_to_common``), and is small. The figure in specs counts, else the title's first.
     ``in_order`` says that specs hold the value as a plain number under ``<quantity>_<common unit>``. Entries without a
     number, with a number of no known unit or quantity, and figures of zero give no row. A seq in only one of the tables
     is taken from that; of repeated seqs one row comes out. Null or empty specs and titles state nothing.
     """
-    whole = (
-        parsed.select("seq", "specs")
-        .join(raw.select("seq", "title", F.col("category_slug").alias("category"), F.col("merchant_slug").alias("source")), "seq", "full_outer")
-        .filter(F.col("seq").isNotNull())
-        .fillna("", ["category", "source"])
-    )
-    units = reference.select("quantity", "unit_symbol", "factor_to_common", "common_unit").dropDuplicates(["quantity", "unit_symbol"])
-    specs = durable(spec_mentions(whole, units))
-    titles = title_mentions(whole)
-    factor = F.broadcast(units.select("quantity", F.col("unit_symbol").alias("stated_unit"), "factor_to_common"))
+    offset = F.col("offset_to_common") if "offset_to_common" in reference.columns else F.lit(0.0)
+    units = reference.select("quantity", "unit_symbol", "factor_to_common", "common_unit", F.coalesce(offset, F.lit(0.0)).alias("offset_to_common")).dropDuplicates(["quantity", "unit_symbol"])
+    offers = raw.filter(F.col("seq").isNotNull()).select("seq", "title", F.coalesce("category_slug", F.lit("")).alias("category"), F.coalesce("merchant_slug", F.lit("")).alias("source"))
+    fields = parsed.filter(F.col("seq").isNotNull() & F.col("specs").isNotNull()).select("seq", "specs").join(offers.drop("title"), "seq", "left").fillna("", ["category", "source"])
+    specs = durable(spec_mentions(fields, units))
+    factor = F.broadcast(units.select("quantity", F.col("unit_symbol").alias("stated_unit"), "factor_to_common", "offset_to_common"))
     in_words = (
         specs.withColumn("stated_unit", F.coalesce("text_unit", "name_unit"))
         .join(F.broadcast(units.select("quantity", "common_unit").distinct()), "quantity")
         .filter(F.col("text_unit").isNotNull() | (F.col("name_unit") != F.col("common_unit")))
         .join(factor, ["quantity", "stated_unit"])
-        .withColumn("common", F.col("figure") * F.col("factor_to_common"))
+        .withColumn("common", _in_common())
     )
     first_known = broadcast_below(_known_values(in_words), MAX_BROADCAST_ROWS)
-    titled = durable(_title_quantities(titles, specs, units, first_known))
+    titled = durable(_title_quantities(title_mentions(offers), specs, units, first_known))
     stated = in_words.select("category", "quantity", "common").unionByName(titled.filter("sure").select("category", "quantity", "common"))
     known = broadcast_below(_known_values(stated), MAX_BROADCAST_ROWS)
     habit = in_words.select("source", "quantity", "stated_unit").unionByName(titled.select("source", "quantity", F.col("text_unit").alias("stated_unit")))
@@ -263,7 +255,7 @@ def common_quantities(parsed: DataFrame, raw: DataFrame, reference: DataFrame) -
         )
         .select("seq", "quantity", "in_title", "held.*")
     )
-    choices = cases.join(F.broadcast(units), "quantity").withColumn("value", F.col("figure") * F.col("factor_to_common"))
+    choices = cases.join(F.broadcast(units), "quantity").withColumn("value", _in_common())
     choices = choices.withColumn("bin", F.when(F.col("value") > 0, _bin(F.col("value")))).join(known, ["category", "quantity", "bin"], "left").join(usual, ["source", "quantity", "unit_symbol"], "left")
     seen, named = F.coalesce("seen", F.lit(0)), F.coalesce(F.col("unit_symbol") == F.col("name_unit"), F.lit(False))
     agrees = F.coalesce(F.abs(F.log(F.col("value") / F.col("in_title"))) < 0.015, F.lit(False))
