@@ -114,22 +114,21 @@ def _with_symbol(df: DataFrame, text: str, symbol: str, how: str = "left") -> Da
 
 def spec_mentions(df: DataFrame, reference: DataFrame) -> DataFrame:
     """One row for each entry of ``specs`` that names a quantity: figure, the text's unit and the name's unit."""
-    listed = F.regexp_extract_all("specs", F.lit(ENTRY), F.lit(0))
-    entries = df.filter(F.col("specs").isNotNull()).select("seq", "category", "source", F.posexplode(listed).alias("place", "entry"))
-    value = F.col("parts")[1]
+    listed = F.transform(F.regexp_extract_all("specs", F.lit(ENTRY), F.lit(0)), lambda entry: _groups(entry, ENTRY, 2))
+    entries = df.filter(F.col("specs").isNotNull()).select("seq", "category", "source", F.posexplode(listed).alias("place", "parts"))
+    name, value = F.regexp_replace(F.lower(F.trim(F.col("parts")[0])), " ", "_"), F.col("parts")[1]
     quoted = value.rlike(r"""^["']""")
     inner = F.when(quoted, F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r"\\(.)", "$1")).otherwise(F.trim(value))
     stated = rf"^\s*({NUMBER})[\s-]*(\D*?)\s*$"
-    named = (
-        entries.withColumn("parts", _groups(F.col("entry"), ENTRY, 2))
-        .withColumns({"name": F.regexp_replace(F.lower(F.trim(F.col("parts")[0])), " ", "_"), "inner": inner, "quoted": quoted})
-        .withColumns({"quantity": F.regexp_replace("name", r"_[a-z]+$", ""), "suffix": F.regexp_extract("name", r"_([a-z]+)$", 1)})
-        .join(F.broadcast(reference.select("quantity").distinct()), "quantity", "left_semi")  # a table of units
-        .filter(F.col("inner").rlike(stated))
-        .withColumn("stated", _groups(F.col("inner"), stated, 2))
-        .select("seq", "category", "source", "place", "quantity", "suffix", "quoted", parse_number(F.col("stated")[0]).alias("figure"), F.col("stated")[1].alias("unit_text"))
-        .filter(F.col("figure") > 0)
-    )
+    # Each explode of one struct keeps its expressions from being computed again by filters pushed below them.
+    read = F.struct(F.regexp_replace(name, r"_[a-z]+$", "").alias("quantity"), F.regexp_extract(name, r"_([a-z]+)$", 1).alias("suffix"), quoted.alias("quoted"), inner.alias("inner"))
+    rows = entries.select("seq", "category", "source", "place", F.explode(F.array(read)).alias("e")).select("seq", "category", "source", "place", "e.*")
+    rows = rows.join(F.broadcast(reference.select("quantity").distinct()), "quantity", "left_semi")  # a table of units
+    parts = _groups(F.col("inner"), stated, 2)
+    split = rows.select("seq", "category", "source", "place", "quantity", "suffix", "quoted", F.explode(F.array(parts)).alias("stated"))
+    named = split.select(
+        "seq", "category", "source", "place", "quantity", "suffix", "quoted", parse_number(F.get("stated", F.lit(0))).alias("figure"), F.get("stated", F.lit(1)).alias("unit_text")
+    ).filter(F.col("unit_text").isNotNull() & (F.col("figure") > 0))
     return _with_symbol(_with_symbol(named, "unit_text", "text_unit"), "suffix", "name_unit").select(
         "seq", "category", "source", "place", "quantity", "figure", "text_unit", "name_unit", (~F.col("quoted") & (F.col("unit_text") == "")).alias("plain")
     )
