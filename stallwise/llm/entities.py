@@ -1,9 +1,9 @@
 """Listings of the same item, by generic merge resolution.
 
 Every listing starts as a profile of what its visits tell: model code, variant, size, category, brand. Profiles that
-match are merged, the merged profile holds the attributes of both, and richer profiles are blocked and matched again,
-until no profile changes. Matching never loses attributes, so the rounds end: each takes at least one value from
-"unknown" to known.
+match are merged; the merged profile holds the attributes and listings of both and takes their place. Richer profiles
+are blocked and matched again, until no profile changes. A round either leaves fewer profiles, or fewer unknown values,
+or changes nothing, so the rounds end.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,9 @@ from .brands import mapped_names
 VARIANTS = "pro max plus lite neo ultra mini air se fe prime go slim edge".split()
 # Signs read or typed for a figure.
 CONFUSED = str.maketrans({"O": "0", "Q": "0", "D": "0", "I": "1", "l": "1", "Z": "2", "S": "5", "G": "6", "B": "8"})
-MAX_ROUNDS = 6
 MAX_BROADCAST_ROWS = 200_000
+ATTRIBUTES = ("code", "variant", "size", "category", "brand_id")
+HOT_ITEM = 2_000  #: listings of one item that are paired in one place; those of larger ones are dealt to several
 #: Sizes within this share of each other are one size, rounded or converted differently.
 SAME_SIZE = 0.02
 
@@ -176,17 +178,23 @@ def _listing_sizes(visits: DataFrame, parsed: DataFrame, products: DataFrame, re
 def profiles(listing: DataFrame, raw: DataFrame, parsed: DataFrame, products: DataFrame, reference: DataFrame, brands: DataFrame) -> DataFrame:
     """A profile for each listing: ``listing_id``, ``category``, ``code``, ``variant``, ``size``, ``brand_id``.
 
-    Visits belong to a listing by the address of its page. What none of them tells is null ('' for the variant, which a
+    Visits belong to a listing by the address of its page. A listing without visits is judged by its own title, and its
+    category and brand are those of the product it is linked to. What nothing tells is null ('' for the variant, which a
     base model lacks).
     """
     offers = listing.select(F.col("id").alias("listing_id"), page(F.col("url")).alias("page"), "title_on_merchant").filter(F.col("listing_id").isNotNull())
-    visits = durable(
-        raw.select("seq", page(F.col("url")).alias("page"), "title", "description", "category_slug", "merchant_slug").join(offers.select("page", "listing_id"), "page")
-    )
+    columns = ["seq", "listing_id", "title", "description", "category_slug", "merchant_slug"]
+    seen = raw.select("seq", page(F.col("url")).alias("page"), *columns[2:]).join(offers.select("page", "listing_id"), "page").select(*columns)
+    pages = raw.select(page(F.col("url")).alias("page")).distinct()
+    maker = (F.col("brand") if "brand" in products.columns else F.lit(None).cast("string")).alias("brand")
+    links = listing.select(F.col("id").alias("listing_id"), "product_id").join(products.select(F.col("id").alias("product_id"), "category_slug", maker), "product_id", "left")
+    unseen = durable(offers.join(pages, "page", "left_anti").join(links.groupBy("listing_id").agg(F.min("category_slug").alias("category_slug"), F.min("brand").alias("brand")), "listing_id", "left"))
+    own_visit = unseen.select((-1 - F.col("listing_id")).alias("seq"), "listing_id", F.col("title_on_merchant").alias("title"), F.lit(None).cast("string").alias("description"), "category_slug", F.lit(None).cast("string").alias("merchant_slug"))
+    visits = durable(seen.unionByName(own_visit))
     own = offers.select("listing_id", F.col("title_on_merchant").alias("title"), F.lit(None).cast("string").alias("description"))
     told = _codes(visits.select("listing_id", "title", "description").unionByName(own))
     codes = durable(told.unionByName(_key_codes(listing, products)))
-    typed = visits.join(parsed.select("seq", "brand"), "seq").select("listing_id", "brand")
+    typed = visits.join(parsed.select("seq", "brand"), "seq").select("listing_id", "brand").unionByName(unseen.select("listing_id", "brand"))
     named = mapped_names(typed, "brand", brands).filter("brand_id > 0").groupBy("listing_id", "brand_id").agg(F.count(F.lit(1)).alias("times"))
     brand = named.groupBy("listing_id").agg(F.max_by("brand_id", F.struct("times", -F.col("brand_id"))).alias("brand_id"))
     category = visits.groupBy("listing_id").agg(F.mode("category_slug", True).alias("category"))
@@ -201,49 +209,72 @@ def profiles(listing: DataFrame, raw: DataFrame, parsed: DataFrame, products: Da
     )
 
 
+def _only_value(profiles: DataFrame, wanted: str, block: list[str]) -> DataFrame:
+    """``profiles`` with an unknown ``wanted`` taken from the profiles of the block, if all that know it agree."""
+    known = profiles.filter(F.col(wanted).isNotNull()).groupBy(*[F.col(c).alias(f"block_{c}") for c in block]).agg(F.min(wanted).alias("least"), F.max(wanted).alias("most"))
+    agreed = known.filter("least = most").drop("most")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"block_{c}")) for c in block])
+    open_ones = profiles.filter(F.col(wanted).isNull()).join(agreed, same, "left").withColumn(wanted, F.col("least")).select(*profiles.columns)
+    return profiles.filter(F.col(wanted).isNotNull()).unionByName(open_ones)
+
+
+def _one_sign_off(code: Column) -> Column:
+    """The forms of a code with one sign left open: codes that differ in one sign share one."""
+    return F.transform(F.sequence(F.lit(1), F.length(code)), lambda i: F.concat(F.substring(code, F.lit(1), i - 1), F.lit("*"), F.substring(code, i + 1, F.length(code))))
+
+
+def _renamed(profiles: DataFrame) -> DataFrame:
+    """``profile`` and ``new_code`` for listings whose code no one else has, where the profiles of their brand, category,
+    variant and size have one code alone that differs from it in one sign."""
+    kind = ["brand_id", "category", "variant", "size"]
+    held = profiles.groupBy("code", "variant").agg(F.sum("held").alias("block_held"))
+    whole = profiles.filter("brand_id IS NOT NULL AND size IS NOT NULL").join(held, ["code", "variant"])
+    lone = whole.filter("block_held = 1").select("profile", *kind, "code", F.explode(_one_sign_off(F.col("code"))).alias("form"))
+    others = whole.filter("block_held > 1").select(*kind, F.col("code").alias("new_code"), F.explode(_one_sign_off(F.col("code"))).alias("form")).distinct()
+    choices = lone.join(others, [*kind, "form"]).filter("code != new_code").groupBy("profile").agg(F.min("new_code").alias("new_code"), F.max("new_code").alias("last"))
+    return choices.filter("new_code = last").select("profile", "new_code")
+
+
+def merged_once(profiles: DataFrame) -> DataFrame:
+    """One round: ``profile``, what it knows now, and ``into``, the profile that it is merged into (itself, mostly).
+
+    Profiles of one code and variant are a block; they match unless category, brand or size contradict each other, and
+    what a profile doesn't know it takes from those it matches if these agree. Then profiles whose code no one else has
+    are blocked by what else they know. Profiles that have become equal are one.
+    """
+    richer = _only_value(profiles, "category", ["code", "variant"])
+    richer = _only_value(richer, "brand_id", ["code", "variant", "category"])
+    richer = durable(_only_value(richer, "size", ["code", "variant", "category", "brand_id"]))
+    named = richer.join(_renamed(richer), "profile", "left").withColumn("code", F.coalesce("new_code", "code")).drop("new_code")
+    # Equal ones are few at a time: profiles that were equal before are one already.
+    return named.withColumn("into", F.min("profile").over(W.partitionBy(*ATTRIBUTES)))
+
+
 def resolved(state: DataFrame) -> DataFrame:
     """``listing_id`` and ``item``: the profiles merged until none changes.
 
-    Profiles of one code and variant are a block. Those of one size there are one item; a profile without size is of the
-    only size its block knows. A profile without category or brand takes the block's most frequent. Profiles whose code
-    no one else has are blocked by brand, category, variant and size, and take the only code there that differs from
-    theirs in one sign. What stays unknown keeps a profile apart from those that know; profiles without code stay alone.
+    ``state`` has listing_id and the attributes. Profiles without code stay alone; what stays unknown keeps a profile
+    apart from those that know.
     """
     state = durable(state)
-    for _ in range(MAX_ROUNDS):
-        block = state.filter("code IS NOT NULL").groupBy("code", "variant").agg(
-            F.min("size").alias("least"), F.max("size").alias("most"), F.mode("category", True).alias("block_category"), F.mode("brand_id", True).alias("block_brand"), F.count(F.lit(1)).alias("held")
-        )
-        richer = state.join(block, ["code", "variant"], "left").select(
-            "listing_id",
-            "code",
-            "variant",
-            F.coalesce("size", F.when(F.col("least") == F.col("most"), F.col("least"))).alias("size"),
-            F.coalesce("category", "block_category").alias("category"),
-            F.coalesce("brand_id", "block_brand").alias("brand_id"),
-            F.coalesce("held", F.lit(0)).alias("held"),
-        )
-        lone = richer.filter("held = 1 AND brand_id IS NOT NULL AND size IS NOT NULL")
-        kinds = richer.filter("held > 1 AND brand_id IS NOT NULL AND size IS NOT NULL").groupBy("brand_id", "category", "variant", "size", F.col("code").alias("their_code")).agg(F.count(F.lit(1)).alias("there"))
-        one_off = (F.length("code") == F.length("their_code")) & (F.levenshtein("code", "their_code") == 1)
-        renamed = (
-            lone.join(kinds, ["brand_id", "category", "variant", "size"])
-            .filter(one_off)
-            .groupBy("listing_id")
-            .agg(F.min("their_code").alias("new_code"), F.countDistinct("their_code").alias("choices"))
-            .filter("choices = 1")
-            .select("listing_id", "new_code")
-        )
-        following = durable(richer.join(renamed, "listing_id", "left").withColumn("code", F.coalesce("new_code", "code")).drop("held", "new_code"))
-        changed = following.join(state.select("listing_id", *[F.col(c).alias(f"old_{c}") for c in ("code", "size", "category", "brand_id")]), "listing_id").filter(
-            " OR ".join(f"NOT ({c} <=> old_{c})" for c in ("code", "size", "category", "brand_id"))
-        )
-        state = following
-        if changed.isEmpty():
+    coded = state.filter("code IS NOT NULL")
+    profiles = durable(coded.groupBy(*ATTRIBUTES).agg(F.min("listing_id").alias("profile"), F.count(F.lit(1)).alias("held")))
+    first = profiles.select(*[F.col(c).alias(f"profile_{c}") for c in ATTRIBUTES], "profile")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"profile_{c}")) for c in ATTRIBUTES])
+    members = coded.join(first, same).select("listing_id", "profile")
+    while True:
+        judged = durable(merged_once(profiles))
+        before = profiles.select(F.col("profile").alias("into"), *[F.col(c).alias(f"old_{c}") for c in ATTRIBUTES])
+        following = durable(judged.groupBy(F.col("into").alias("profile"), *ATTRIBUTES).agg(F.sum("held").cast("long").alias("held")))
+        settled = following.count() == profiles.count() and judged.join(before, "into").filter(" OR ".join(f"NOT ({c} <=> old_{c})" for c in ATTRIBUTES)).isEmpty()
+        if settled:
             break
-    alone = F.concat(F.lit("listing "), F.col("listing_id").cast("string"))
-    item = F.when(F.col("code").isNull(), alone).otherwise(F.concat_ws("|", "code", "variant", F.coalesce(F.col("size").cast("string"), F.lit("?"))))
-    return state.select("listing_id", item.alias("item"))
+        moved = judged.filter("profile != into").select("profile", "into")
+        members = durable(members.join(moved, "profile", "left").select("listing_id", F.coalesce("into", "profile").alias("profile")))
+        profiles = following
+    alone = state.filter("code IS NULL").select("listing_id", F.concat(F.lit("listing "), F.col("listing_id").cast("string")).alias("item"))
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("brand_id", "category", "code", "variant", "size")])
+    return members.join(profiles.select("profile", name.alias("item")), "profile").select("listing_id", "item").unionByName(alone)
 
 
 def same_items(listing: DataFrame, raw: DataFrame, parsed: DataFrame, products: DataFrame, reference: DataFrame, brands: DataFrame) -> DataFrame:
@@ -255,8 +286,18 @@ def same_items(listing: DataFrame, raw: DataFrame, parsed: DataFrame, products:
     return resolved(profiles(listing, raw, parsed, products, reference, brands))
 
 
-def pairs_of(items: DataFrame) -> DataFrame:
-    """``listing_id_a`` < ``listing_id_b`` of each item, by an equi-join on the item."""
-    a = items.select("item", F.col("listing_id").alias("listing_id_a"))
-    b = items.select("item", F.col("listing_id").alias("listing_id_b"))
-    return a.join(b, "item").filter("listing_id_a < listing_id_b").select("listing_id_a", "listing_id_b")
+def pairs_of(items: DataFrame, hot_item: int = HOT_ITEM) -> DataFrame:
+    """``listing_id_a`` < ``listing_id_b`` of each item, by an equi-join on the item.
+
+    The listings of an item of more than ``hot_item`` are dealt to several places by hash; each place holds them against
+    all of the item, in batches that stream by.
+    """
+    items = durable(items)
+    hot = durable(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_item).select("item", F.ceil(F.col("n") / F.lit(hot_item)).cast("int").alias("places")))
+    a, b, by = items.select("item", F.col("listing_id").alias("listing_id_a")), items.select("item", F.col("listing_id").alias("listing_id_b")), ["item"]
+    if not hot.isEmpty():
+        a, b = (side.join(hot, "item", "left").fillna(1, ["places"]) for side in (a, b))
+        a = a.withColumn("place", F.pmod(F.xxhash64("listing_id_a"), F.col("places")).cast("int"))
+        b = b.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+        by = ["item", "place"]
+    return a.join(b, by).filter("listing_id_a < listing_id_b").select("listing_id_a", "listing_id_b")

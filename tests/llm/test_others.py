@@ -214,3 +214,54 @@ def test_sentences_far_into_a_text_are_sampled(spark):
     df = spark.createDataFrame([(i, text, "en") for i in range(6)], "doc_id long, text string, lang string")
     model = language.fit(df)
     assert model is not None and set(model.languages) == {"en"}
+
+
+PROFILE = "listing_id long, code string, variant string, size long, category string, brand_id long"
+
+
+def merged(spark, rows):
+    groups = {}
+    for r in entities.resolved(spark.createDataFrame(rows, PROFILE)).collect():
+        groups.setdefault(r.item, set()).add(r.listing_id)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_a_merged_profile_matches_what_its_parts_do_not(spark):
+    brand_only, size_only, typed_wrong = (1, "ab123", "", None, "phones", 1), (2, "ab123", "", 64, "phones", None), (3, "ab128", "", 64, "phones", 1)
+    assert merged(spark, [brand_only, typed_wrong]) == [[1], [3]]
+    assert merged(spark, [size_only, typed_wrong]) == [[2], [3]]
+    assert merged(spark, [brand_only, size_only, typed_wrong]) == [[1, 2, 3]]
+
+
+def test_contradicting_profiles_stay_apart(spark):
+    rows = [
+        (1, "ab123", "", 64, "phones", 1), (2, "ab123", "", 64, "phones", 1), (3, "ab123", "", 64, "kettles", 7), (4, "ab123", "", 64, "phones", 2),  # other category, other maker
+        (5, "ab123", "pro", 64, "phones", 1), (6, "ab123", "", 128, "phones", 1),  # other variant, other size
+        (7, "cd456", "", None, "phones", 1), (8, "cd456", "", None, "kettles", 1), (9, "cd456", "", None, "phones", 1),  # size unknown to all
+        (10, None, "", 64, "phones", 1), (11, None, "", 64, "phones", 1), (12, "ab123", "", 64, None, None),  # no code; two makers to choose from
+    ]
+    assert merged(spark, rows) == [[1, 2], [3], [4], [5], [6], [7, 9], [8], [10], [11], [12]]
+
+
+def test_rounds_follow_a_chain_to_its_end(spark):
+    # Each listing's code is one sign off from the next pair's, and only the merged pair can draw it in.
+    rows = [(1, "ab111", "", 64, "phones", 1), (2, "ab112", "", 64, "phones", 1), (3, "ab112", "", 64, None, 1), (4, "ab122", "", None, "phones", 1)]
+    assert merged(spark, rows) == [[1, 2, 3], [4]]
+    assert merged(spark, []) == []
+
+
+def test_pairs_of_a_hot_item(spark):
+    items = spark.createDataFrame([(i, "hot") for i in range(60)] + [(100, "x"), (101, "x"), (102, "y")], "listing_id long, item string")
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60)} | {(100, 101)}
+    got = [tuple(r) for r in entities.pairs_of(items, hot_item=10).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_listings_without_visits(spark):
+    listing = spark.createDataFrame([(1, "https://a/1", "Maker Lumo AB1234 64GB", 5), (2, "https://b/1", "Lumo AB-1234 64 gb Maker", 5), (3, "https://c/1", "Lumo AB1234 128GB", 5)], "id long, url string, title_on_merchant string, product_id long")
+    raw = spark.createDataFrame([], "seq long, url string, title string, description string, category_slug string, merchant_slug string")
+    parsed = spark.createDataFrame([], "seq long, specs string, brand string")
+    products = spark.createDataFrame([(5, "maker|lumo-ab1234|64gb", "phones", "Maker"), (6, "maker|lumo-ab1235|128gb", "phones", "Maker")], "id long, canonical_key string, category_slug string, brand string")
+    reference = spark.createDataFrame([("storage", "gb", 1.0, "gb"), ("ram", "gb", 1.0, "gb")], "quantity string, unit_symbol string, factor_to_common double, common_unit string")
+    brands = spark.createDataFrame([(1, "Maker", None)], "brand_id long, brand_name string, also_sold_as string")
+    assert {tuple(x) for x in entities.pairs_of(entities.same_items(listing, raw, parsed, products, reference, brands)).collect()} == {(1, 2)}
