@@ -110,6 +110,26 @@ def test_shares_are_reached_within_repeats(spark):
     assert mixing.mixture(documents.limit(0), targets).count() == 0
 
 
+def test_documents_without_label_keep_the_repeats_of_their_source(spark):
+    r = random.Random(9)
+    words = "phone fridge panel screen cold watt".split()  # the texts don't tell the sources apart
+    rows = [(i, " ".join(r.choice(words) for _ in range(20)), s) for i in range(600) for s in ["a" if i % 6 else "b"]] + [(1000 + i, " ".join(r.choice(words) for _ in range(20)), None) for i in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 5)], "source string, target_share double, max_repeats int")
+    out = mixing.mixture(documents, targets).collect()
+    limits = {"a": 1, "b": 5}
+    assert len(out) == len(rows) and all(x.copies <= limits[x.source] and x.rate <= limits[x.source] for x in out)
+    assert {x.source for x in out if x.doc_id >= 1000} == {"a", "b"} and max(x.copies for x in out) > 1
+
+
+def test_a_fit_that_does_not_settle_warns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    documents = spark.createDataFrame([(i, "phone " * (i % 7), "a" if i % 2 else "b") for i in range(100)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 9)], "source string, target_share double, max_repeats int")
+    with pytest.warns(UserWarning, match="still changed"):
+        mixing.mixture(documents, targets)
+
+
 # language
 
 TEXTS = {
