@@ -40,9 +40,10 @@ SAMPLE_DOCUMENTS = 400  #: labelled documents a language, at most, for the centr
 SAMPLE_SENTENCES = 6  #: sentences of each of them
 LEAST_DOCUMENTS = 5  #: labelled documents that a language needs
 CENTROIDS = 4
+SHRINKAGE = 0.7  #: weight of a language's mean in its centroids
 ROUNDS = 8
 LEAST_LETTERS = 10  #: letters in words that a sentence needs for a language of its own
-LEAST_COSINE = 0.12
+LEAST_COSINE = 0.09
 LEAST_MARGIN = 0.06  #: lead over the next language, as a share of the cosine
 PIECE = 300_000  #: characters a worker turns into vectors at once
 
@@ -213,16 +214,34 @@ def fit(documents: DataFrame) -> Model | None:
     texts = {k: v for k, v in sorted(texts.items()) if len(v) >= LEAST_DOCUMENTS}
     if not texts:
         return None
+    return fit_texts(idf, texts)
+
+
+def fit_texts(idf: np.ndarray, texts: dict[str, list[str]]) -> Model | None:
+    """The model of labelled sentences, or None without enough of them.
+
+    Labels can be wrong: sentences that the languages' means contradict are left out, until a round contradicts no more.
+    A centroid lies between its cluster and the mean of its language by ``SHRINKAGE``, so that what a cluster's sentences
+    are about, which other languages write of too, weighs less than how the language is written.
+    """
     model = Model(idf, np.zeros((BUCKETS, 1), dtype=np.float32), [])
-    counted = {k: count_ngrams(v) for k, v in texts.items()}
-    means = np.stack([np.bincount(v.buckets, model.weights(v), minlength=BUCKETS) for v in counted.values()], axis=1)
-    first = Model(idf, (means / np.maximum(np.linalg.norm(means, axis=0), 1e-12)).astype(np.float32), list(counted))
+    languages = list(texts)
+    rows = _dense(model, count_ngrams([t for v in texts.values() for t in v]))
+    owner = np.repeat(np.arange(len(languages)), [len(v) for v in texts.values()])
+    believed = np.ones(len(rows), dtype=bool)
+    for _ in range(ROUNDS):
+        means = np.stack([rows[believed & (owner == i)].sum(axis=0) for i in range(len(languages))], axis=1)
+        means /= np.maximum(np.linalg.norm(means, axis=0), 1e-12)
+        following = (rows @ means).argmax(axis=1) == owner
+        if (following == believed).all():
+            break
+        believed = following
     columns, owners = [], []
-    for place, (language, vectors) in enumerate(counted.items()):
-        believed = first.cosines(vectors).argmax(axis=1) == place
-        if believed.sum() >= LEAST_DOCUMENTS:
-            centres = _clustered(_dense(first, vectors)[believed], CENTROIDS)
-            columns.append(centres)
+    for i, language in enumerate(languages):
+        own = believed & (owner == i)
+        if own.sum() >= LEAST_DOCUMENTS:
+            centres = (1 - SHRINKAGE) * _clustered(rows[own], CENTROIDS) + SHRINKAGE * means[:, [i]]
+            columns.append(centres / np.linalg.norm(centres, axis=0))
             owners += [language] * centres.shape[1]
     return Model(idf.astype(np.float64), np.concatenate(columns, axis=1).astype(np.float32), owners) if columns else None
 
