@@ -33,8 +33,8 @@ PROBES = 20
 WIDTH = 2.3  #: of a quantisation step, for vectors of length 1
 BUCKET = 400  #: different vectors a bucket may hold before all that visit it are compared exactly
 BLOCK = 16_384  #: vectors of a crowd held in memory at a time, twice
-SKETCH_LIMIT = 40  #: differing bits of 128 up to which a candidate is reranked: at a cosine of 0.8, three deviations more than expected
-BITMAP_LOG2 = 25  #: bits that remember which buckets exist, as a power of two: 4 MB whatever the data
+SKETCH_DEVIATIONS = 3  #: a candidate is reranked if its sketch differs in at most so many deviations more bits than the least cosine lets expect
+BITMAP_LOG2 = (25, 29)  #: bits that remember which buckets exist, as powers of two: from 4 MB on, 64 MB at most; a full map only spares fewer probes
 HOME = 2_000  #: vectors compared at one place; where more come together, pairs are joined one by one
 MAX_BROADCAST_ROWS = 1_000_000  #: pairs of ids sent to every worker; more are joined by a shuffle
 SEED = 20240917
@@ -122,8 +122,19 @@ def sketch(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return bits.view(np.int64).reshape(len(x), 2)
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITMAP_LOG2)).astype(np.int64)
+def sketch_limit(least: float) -> int:
+    """Differing bits of 128 up to which a candidate may have the cosine ``least``."""
+    chance = math.acos(min(max(least, -1.0), 1.0)) / math.pi
+    return math.ceil(128 * chance + SKETCH_DEVIATIONS * math.sqrt(128 * chance * (1 - chance)))
+
+
+def bitmap_bits(keys: int) -> int:
+    """The power of two of a bitmap with eight bits for every key, within ``BITMAP_LOG2``."""
+    return min(max(math.ceil(math.log2(max(8 * keys, 1))), BITMAP_LOG2[0]), BITMAP_LOG2[1])
+
+
+def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -156,7 +167,7 @@ def _members(rows: DataFrame, dims: int) -> DataFrame:
     return rows.mapInArrow(work, "id long, h1 long, h2 long")
 
 
-def _base_buckets(vectors: DataFrame, dims: int, k: int, tables: int) -> DataFrame:
+def _base_buckets(vectors: DataFrame, dims: int, k: int, tables: int, map_bits: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -165,16 +176,16 @@ def _base_buckets(vectors: DataFrame, dims: int, k: int, tables: int) -> DataFra
             x = _unit(m)
             own, _ = hash_keys(x, k, tables, 0)
             bits = sketch(x, _directions(dims, k, tables)[3])
-            columns = [own.reshape(-1).view(np.int64), np.repeat(ids, tables), *[np.repeat(bits[:, i], tables) for i in (0, 1)], _bit(own.reshape(-1))]
+            columns = [own.reshape(-1).view(np.int64), np.repeat(ids, tables), *[np.repeat(bits[:, i], tables) for i in (0, 1)], _bit(own.reshape(-1), map_bits)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "s1", "s2", "bit"])
 
     return vectors.mapInArrow(work, "bucket long, id long, s1 long, s2 long, bit long")
 
 
-def _existing(base: DataFrame) -> np.ndarray:
-    """The bitmap of buckets that hold anything, built map-side and of fixed size."""
+def _existing(base: DataFrame, map_bits: int = BITMAP_LOG2[0]) -> np.ndarray:
+    """The bitmap of buckets that hold anything, built map-side; its size is bounded."""
     parts = base.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bitmap = np.zeros((2 ** (BITMAP_LOG2 - 15) + 2, 4096), dtype=np.uint8)
+    bitmap = np.zeros((2 ** (map_bits - 15) + 2, 4096), dtype=np.uint8)
     for part, bits in parts:
         bitmap[part, : len(bits)] = np.frombuffer(bits, dtype=np.uint8)
     return bitmap
@@ -187,8 +198,8 @@ def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[part, position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1
 
 
-def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, tables: int, bitmap: np.ndarray) -> DataFrame:
-    shared = spark.sparkContext.broadcast(bitmap)  # of fixed size
+def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, tables: int, bitmap: np.ndarray, map_bits: int) -> DataFrame:
+    shared = spark.sparkContext.broadcast(bitmap)  # of bounded size
     step = max(1, 2000 * TABLES // tables)  # vectors probed at a time, so that memory stays the same
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +209,7 @@ def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, tables:
                 x = _unit(m)
                 _, probed = hash_keys(x, k, tables, PROBES)
                 flat = probed.reshape(-1)
-                hit = np.flatnonzero(_held(shared.value, _bit(flat)))
+                hit = np.flatnonzero(_held(shared.value, _bit(flat, map_bits)))
                 rows = hit // (tables * PROBES)
                 bits = sketch(x, _directions(dims, k, tables)[3])
                 columns = [flat[hit].view(np.int64), ids[rows], bits[rows, 0], bits[rows, 1]]
@@ -207,15 +218,16 @@ def _probes(spark: SparkSession, vectors: DataFrame, dims: int, k: int, tables:
     return vectors.mapInArrow(work, "bucket long, id long, s1 long, s2 long")
 
 
-def candidate_pairs(vectors: DataFrame, count: int, dims: int) -> tuple[DataFrame, DataFrame | None]:
+def candidate_pairs(vectors: DataFrame, count: int, dims: int, least: float = SURE_COSINE) -> tuple[DataFrame, DataFrame | None]:
     """Distinct pairs ``a`` < ``b`` of ids that met in a bucket and whose sketches are close enough, and the crowds.
 
     Crowds are ``id`` and ``crowd``, or None without any. Pairs within a crowd are not among the pairs.
     """
     k = max(8, math.ceil(math.log2(max(count, 2))) + 3)  # so that strangers met in a table stay as few at any size
     tables = tables_for(k)
-    base = durable(_base_buckets(vectors, dims, k, tables))
-    probes = _probes(vectors.sparkSession, vectors, dims, k, tables, _existing(base))
+    map_bits = bitmap_bits(count * tables)
+    base = durable(_base_buckets(vectors, dims, k, tables, map_bits))
+    probes = _probes(vectors.sparkSession, vectors, dims, k, tables, _existing(base, map_bits), map_bits)
     base = base.drop("bit")
     hot = durable(base.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > BUCKET))
     crowds = None
@@ -223,7 +235,7 @@ def candidate_pairs(vectors: DataFrame, count: int, dims: int) -> tuple[DataFram
         probes = durable(probes)
         crowds = _crowds(durable(base.unionByName(probes).join(hot, "bucket", "left_semi").select("bucket", "id").distinct()))
         base, probes = (side.join(hot, "bucket", "left_anti").join(crowds, "id", "left") for side in (base, probes))
-    return durable(_meetings(base, base.unionByName(probes))), crowds
+    return durable(_meetings(base, base.unionByName(probes), sketch_limit(least))), crowds
 
 
 def _crowds(visits: DataFrame) -> DataFrame:
@@ -237,10 +249,10 @@ def _crowds(visits: DataFrame) -> DataFrame:
         labels = following
 
 
-def _meetings(base: DataFrame, visits: DataFrame) -> DataFrame:
+def _meetings(base: DataFrame, visits: DataFrame, limit: int) -> DataFrame:
     held = base.withColumnsRenamed({"id": "x", "s1": "x1", "s2": "x2", "crowd": "x_crowd"})
     differing = F.bit_count(F.col("s1").bitwiseXOR(F.col("x1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("x2")))
-    met = visits.join(held, "bucket").filter((F.col("id") != F.col("x")) & (differing <= SKETCH_LIMIT))
+    met = visits.join(held, "bucket").filter((F.col("id") != F.col("x")) & (differing <= limit))
     if "crowd" in base.columns:
         met = met.filter(F.coalesce(F.col("crowd") != F.col("x_crowd"), F.lit(True)))
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
@@ -368,7 +380,7 @@ def most_similar(df: DataFrame, record: str = "id", vector: str = "embedding", d
     representatives = eldest.filter("nth = 1").select("id", "h1", "h2")
     others = durable(members.join(representatives.select("id"), "id", "left_anti").select("id"))
     vectors = rows.join(broadcast_below(others, MAX_BROADCAST_ROWS), "id", "left_anti")
-    pairs, crowds = candidate_pairs(vectors, representatives.count(), dims)
+    pairs, crowds = candidate_pairs(vectors, representatives.count(), dims, least)
     similar = exact_cosines(vectors, pairs, dims).filter(F.col("similarity") >= least).dropDuplicates(["a", "b"])
     both = similar.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "similarity")
     both = both.select("p.x", "p.y", "similarity")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from stallwise.llm import vectors
@@ -103,3 +104,29 @@ def test_scaled_copies_are_copies(spark):
     df = spark.createDataFrame([(i, (v * np.float32(s)).tolist()) for i, s in enumerate([1, 2, 0.25, -1])], "id long, embedding array<float>")
     hashes = {r.id: (r.h1, r.h2) for r in vectors._members(df, 32).collect()}
     assert hashes[0] == hashes[1] == hashes[2] != hashes[3]
+
+
+def test_a_dense_cluster_of_thousands_loses_nothing(spark):
+    r = np.random.default_rng(12)
+    x = (r.normal(size=(1, 48)) + 1e-2 * r.normal(size=(8000, 48))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "embedding": list(map(list, x.tolist()))}), "id long, embedding array<float>")
+    got = {}
+    for row in vectors.most_similar(df, dims=48).filter("id % 20 = 0").collect():
+        got.setdefault(row.id, set()).add(row.neighbour)
+    similar = np.round(unit[::20] @ unit.T, 9)
+    hits = 0
+    for i, values in zip(range(0, len(x), 20), similar):
+        values[i] = -2
+        fifth = np.sort(values)[-5]
+        hits += sum(values[n] >= fifth for n in got[i])
+    assert hits / (5 * len(similar)) >= 0.999
+
+
+@pytest.mark.parametrize("least, limit", [(0.8, 40), (0.6, 54), (1.0, 0)])
+def test_the_sketch_limit_follows_the_least_cosine(least, limit):
+    assert vectors.sketch_limit(least) == limit
+
+
+def test_the_bitmap_grows_with_the_buckets_within_bounds():
+    assert [vectors.bitmap_bits(n) for n in (0, 10**6, 10**7, 10**12)] == [25, 25, 27, 29]
