@@ -224,23 +224,22 @@ def fit_texts(idf: np.ndarray, texts: dict[str, list[str]]) -> Model | None:
     A centroid lies between its cluster and the mean of its language by ``SHRINKAGE``, so that what a cluster's sentences
     are about, which other languages write of too, weighs less than how the language is written.
     """
-    model = Model(idf, np.zeros((BUCKETS, 1), dtype=np.float32), [])
-    languages = list(texts)
-    rows = _dense(model, count_ngrams([t for v in texts.values() for t in v]))
-    owner = np.repeat(np.arange(len(languages)), [len(v) for v in texts.values()])
-    believed = np.ones(len(rows), dtype=bool)
+    languages, counted = list(texts), [count_ngrams(v) for v in texts.values()]
+    model = Model(idf, np.zeros((BUCKETS, 1), dtype=np.float32), languages)
+    weights = [model.weights(v) for v in counted]
+    believed = [np.ones(v.n, dtype=bool) for v in counted]
     for _ in range(ROUNDS):
-        means = np.stack([rows[believed & (owner == i)].sum(axis=0) for i in range(len(languages))], axis=1)
-        means /= np.maximum(np.linalg.norm(means, axis=0), 1e-12)
-        following = (rows @ means).argmax(axis=1) == owner
-        if (following == believed).all():
+        sums = [np.bincount(v.buckets, w * held[v.rows], minlength=BUCKETS) for v, w, held in zip(counted, weights, believed)]
+        means = np.stack([m / max(np.linalg.norm(m), 1e-12) for m in sums], axis=1)
+        by_means = Model(idf, means.astype(np.float32), languages)
+        following = [by_means.cosines(v).argmax(axis=1) == i for i, v in enumerate(counted)]
+        if all((f == b).all() for f, b in zip(following, believed)):
             break
         believed = following
     columns, owners = [], []
     for i, language in enumerate(languages):
-        own = believed & (owner == i)
-        if own.sum() >= LEAST_DOCUMENTS:
-            centres = (1 - SHRINKAGE) * _clustered(rows[own], CENTROIDS) + SHRINKAGE * means[:, [i]]
+        if believed[i].sum() >= LEAST_DOCUMENTS:
+            centres = (1 - SHRINKAGE) * _clustered(_dense(model, counted[i])[believed[i]], CENTROIDS) + SHRINKAGE * means[:, [i]]
             columns.append(centres / np.linalg.norm(centres, axis=0))
             owners += [language] * centres.shape[1]
     return Model(idf.astype(np.float64), np.concatenate(columns, axis=1).astype(np.float32), owners) if columns else None
