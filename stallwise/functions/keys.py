@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Numeric specs whose difference tells two products apart.
-NUMERIC_SPECS = "storage_gb ram_gb screen_mm screen_inches volume_ml capacity_liters mass_g capacity_kg power_w watts battery_mah energy_wh length_mm".split()
+NUMERIC_SPECS = "storage_gb ram_gb screen_mm screen_inches size_inches volume_ml capacity_liters mass_g capacity_kg capacity_ah capacity_mah power_w watts voltage_v battery_mah energy_wh length_mm burners slots megapixels".split()
 
 
 def depth(key: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ def build_session(app: str = "stallwise", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -27,13 +29,18 @@ def build_session(app: str = "stallwise", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir`` if set, else a local one (tests)."""
+    """The folder for checkpoints: the one that ``spark.checkpoint.dir`` names; without it a temporary one, on one machine only.
+
+    Raises on a cluster without that setting, as its machines share no temporary folder.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         shared = os.path.join(tempfile.gettempdir(), "stallwise-checkpoints")
     context.setCheckpointDir(shared)
     return shared

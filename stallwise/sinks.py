@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sources.tables import stored
+
 from .functions.text import xml_escape
 
 
@@ -50,12 +52,9 @@ def stored_result(spark, path: str, build, now, longest_s: float = 86_400, least
 
     With ``least_s`` it is also built anew if it is older than that, for runs that refresh ahead of readers.
     """
-    try:
-        kept = spark.read.parquet(path)
-        age = kept.agg(F.max("generated_at")).first()[0]
-        age_s = (now - age).total_seconds() if age else None
-    except Exception:  # nothing is stored yet
-        age_s = None
+    kept = stored(spark, path)
+    age = None if kept is None else kept.agg(F.max("generated_at")).first()[0]
+    age_s = (now - age).total_seconds() if age else None
     limit = longest_s if least_s is None else min(longest_s, least_s)
     if age_s is None or age_s >= limit:
         build().withColumn("generated_at", F.lit(now)).write.mode("overwrite").parquet(path)

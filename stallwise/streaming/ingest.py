@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.maintenance import changes_only, merged_offers
+from ..sources.tables import stored
 
 KEYS = ["merchant_slug", "page"]
 STATE = ["price_kes", "in_stock", "title", "seen"]
@@ -38,15 +39,9 @@ class Offers:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _read(self, path: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(path)
-        except Exception:  # nothing is written yet
-            return None
-
     def current(self, before: int | None = None) -> DataFrame | None:
         """The newest state, or the newest of a batch before the given one."""
-        states = self._read(f"{self.folder}/state")
+        states = stored(self.spark, f"{self.folder}/state")
         if states is None:
             return None
         if before is not None:
@@ -55,7 +50,7 @@ class Offers:
         return None if newest is None else states.filter(F.col("batch") == newest).drop("batch")
 
     def history(self) -> DataFrame | None:
-        changes = self._read(f"{self.folder}/history")
+        changes = stored(self.spark, f"{self.folder}/history")
         return None if changes is None else changes.drop("batch")
 
     def take(self, batch: DataFrame, number: int) -> None:
@@ -63,6 +58,16 @@ class Offers:
         state, changes = folded(self.current(number), prepared(batch))
         changes.write.mode("overwrite").parquet(f"{self.folder}/history/batch={number}")
         state.write.mode("overwrite").parquet(f"{self.folder}/state/batch={number}")
+        self._expire(number)
+
+    def _expire(self, number: int) -> None:
+        """Removes the states older than the one before the given batch, which a repeated batch would start from."""
+        jvm, root = self.spark._jvm, f"{self.folder}/state"
+        folder = jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        batches = sorted(int(name.split("=")[1]) for name in (f.getPath().getName() for f in files.listStatus(folder)) if name.startswith("batch="))
+        for old in [b for b in batches if b < number][:-1]:
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/batch={old}"), True)
 
 
 def ingest(stream: DataFrame, offers: Offers, checkpoint: str, check: Callable[[int], None] | None = None) -> None:
