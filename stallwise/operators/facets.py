@@ -3,93 +3,74 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import sorted_values
 
+# The numeric specs by which a category's items are filtered.
+FILTERED_SPECS = """
+phones tablets laptops: storage_gb ram_gb
+tvs: screen_mm
+refrigerators kettles: volume_ml
+washers: mass_g
+blenders: volume_ml power_w
+audio: power_w
+inverters: power_w
+solar-batteries: energy_wh
+"""
+
+
+class Filters(NamedTuple):
+    """What a category's page can be filtered by: names in the address, and what of the data they are held against."""
+
+    choices: dict[str, Column]  #: of products; one of several values
+    switches: dict[str, Column]  #: of offers; on or off
+    ceilings: dict[str, str]  #: aggregates with an upper bound
 
-@dataclass(frozen=True)
-class Facet:
-    """``kind`` is enum, bool or range; ``source`` is a column, a spec as ``specs.name``, or an aggregate's name."""
-
-    key: str
-    kind: str
-    source: str
-
-
-UNIVERSAL = (Facet("brand", "enum", "brand"), Facet("in_stock", "bool", "in_stock"), Facet("price_max", "range", "min_price"))
-# The specs by which the categories with many items are filtered.
-BY_CATEGORY = {
-    "phones": ("storage_gb", "ram_gb"),
-    "tablets": ("storage_gb", "ram_gb"),
-    "laptops": ("storage_gb", "ram_gb"),
-    "tvs": ("screen_mm",),
-    "refrigerators": ("volume_ml",),
-    "washers": ("mass_g",),
-    "kettles": ("volume_ml",),
-    "blenders": ("volume_ml", "power_w"),
-    "audio": ("power_w",),
-}
-
-
-def facets_for(category: str) -> tuple[Facet, ...]:
-    return UNIVERSAL + tuple(Facet(name, "enum", f"specs.{name}") for name in BY_CATEGORY.get(category, ()))
-
-
-def parse_filters(query: Mapping[str, Sequence[str]], facets: Sequence[Facet]) -> dict[str, list[str] | str | bool]:
-    """The known facets that a query string holds: enums repeat, ranges are trimmed, 0, false and nothing are no."""
-    found: dict[str, list[str] | str | bool] = {}
-    for facet in facets:
-        values = [v for v in query.get(facet.key, ()) if v.strip()]
-        if not values:
-            continue
-        if facet.kind == "enum":
-            found[facet.key] = values
-        elif facet.kind == "range":
-            found[facet.key] = values[0].strip()
-        elif values[0].strip().lower() not in ("0", "false"):
-            found[facet.key] = True
-    return found
 
+def facets_for(category: str) -> Filters:
+    """The filters of a category: its brand and specs, stock, and price."""
+    lines = (line.split(":") for line in FILTERED_SPECS.split("\n") if line)
+    specs = [name for categories, names in lines if category in categories.split() for name in names.split()]
+    choices = {"brand": F.col("brand")} | {name: F.get_json_object("specs", f"$.{name}") for name in specs}
+    return Filters(choices, {"in_stock": F.col("in_stock")}, {"price_max": "min_price"})
 
-def _column(source: str) -> Column:
-    table, _, name = source.partition(".")
-    return F.get_json_object(table, f"$.{name}") if name else F.col(source)
 
+def asked(query: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    """What a query string asks for; values of blanks ask for nothing."""
+    stated = {key: [v for v in values if v.strip()] for key, values in query.items()}
+    return {key: values for key, values in stated.items() if values}
 
-def filtered_offers(products: DataFrame, listings: DataFrame, query: Mapping[str, Sequence[str]], facets: Sequence[Facet]) -> DataFrame:
-    """Products with ``min_price`` and ``offer_count`` under the filters.
 
-    Values of one facet are alternatives, facets add up. Enums and flags filter rows before grouping, so they also change
-    the aggregates; ranges filter the aggregates, and are ignored unless they are whole numbers.
+def filtered_offers(products: DataFrame, listings: DataFrame, query: Mapping[str, Sequence[str]], filters: Filters) -> DataFrame:
+    """Products with ``min_price`` and ``offer_count`` under the filters that the query names; unknown names are ignored.
+
+    Choices and switches filter rows before grouping, so they also change the aggregates; values of one choice are
+    alternatives, and a switch of 0 or false is off. Ceilings filter the aggregates; they are trimmed, and ignored unless
+    they are whole numbers.
     """
-    active = parse_filters(query, facets)
-    kinds = {f.key: f for f in facets}
-    for key, values in active.items():
-        facet = kinds[key]
-        if facet.kind == "enum":
-            products = products.filter(_column(facet.source).isin(list(values)))
-        elif facet.kind == "bool":
-            listings = listings.filter(_column(facet.source))
+    wanted = asked(query)
+    for name in filters.choices.keys() & wanted.keys():
+        products = products.filter(filters.choices[name].isin(wanted[name]))
+    for name in filters.switches.keys() & wanted.keys():
+        if wanted[name][0].strip().lower() not in ("0", "false"):
+            listings = listings.filter(filters.switches[name])
     offers = listings.groupBy("product_id").agg(F.min("price_kes").alias("min_price"), F.count(F.lit(1)).alias("offer_count"))
     found = products.join(offers, products["id"] == offers["product_id"]).drop("product_id")
-    for key, value in active.items():
-        if kinds[key].kind == "range" and str(value).isdigit():
-            found = found.filter(F.col(kinds[key].source) <= F.lit(int(value)))
+    for name in filters.ceilings.keys() & wanted.keys():
+        if (most := wanted[name][0].strip()).isdigit():
+            found = found.filter(F.col(filters.ceilings[name]) <= F.lit(int(most)))
     return found
 
 
-def available_values(products: DataFrame, facets: Sequence[Facet]) -> DataFrame:
-    """``facet`` and its ``choices`` in order, whatever filters are active; placeholders are no values."""
-    rows = [
-        products.select(F.lit(f.key).alias("facet"), _column(f.source).alias("value")).filter(F.col("value").isNotNull() & ~F.lower("value").isin("", "null", "unknown")).distinct()
-        for f in facets
-        if f.kind == "enum"
-    ]
-    together = rows[0]
-    for more in rows[1:]:
-        together = together.unionByName(more)
-    return together.groupBy("facet").agg(sorted_values(F.collect_set("value")).alias("choices"))
+def available_values(products: DataFrame, filters: Filters) -> DataFrame:
+    """``facet`` and its ``choices`` in order, whatever filters are active; placeholders are no values.
+
+    One pass over the products: each row yields its value of every choice, and equal ones are combined before the shuffle.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("facet"), value.alias("value")) for name, value in filters.choices.items()])).alias("e")
+    known = products.select(each).select("e.*").filter(F.col("value").isNotNull() & ~F.lower("value").isin("", "null", "unknown")).distinct()
+    return known.groupBy("facet").agg(sorted_values(F.collect_set("value")).alias("choices"))
