@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of a title that tell its condition, in the order in which they are tried.
-CONDITIONS = [("refurbished", "refurbished"), ("renewed", "refurbished"), ("ex-uk", "used"), ("pre-owned", "used"), ("used", "used"), ("open box", "open-box")]
+CONDITIONS = [("refurbished", "refurbished"), ("refurb", "refurbished"), ("renewed", "refurbished"), ("used", "used"), ("second hand", "used"), ("brand new", "new")]
 
 
 def clean_title(title: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .ranking import top_per_group
+from .skew import ROWS_PER_SLICE, micros, with_halo, with_slices
 
 
 def orphans(parents: DataFrame, key: str, children: DataFrame, reference: str) -> DataFrame:
@@ -76,3 +77,31 @@ def changes_only(readings: DataFrame, keys: Sequence[str], order: Sequence[str],
         readings = readings.join(stored.select(*keys, F.col(value).alias("stored_value")), list(keys), "left")
         before = F.coalesce(before, F.col("stored_value"))
     return readings.withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col(value))).drop("before", "stored_value")
+
+
+def changes_in_time(readings: DataFrame, key: str, at: str, value: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The readings whose value differs from the one before in time, a key's first one included.
+
+    ``readings`` has one row a key and time. A hot key is cut into slices of its time; each sees the last row of the slice
+    before, so nothing changes at the cuts.
+    """
+    cut = with_halo(with_slices(readings.withColumn("at_us", micros(F.col(at))), key, "at_us", rows_per_slice), key, "at_us", 1)
+    order = W.partitionBy(key, "slice_no").orderBy("at_us")
+    compared = cut.withColumns({"before": F.lag(value).over(order), "first": F.row_number().over(order) == 1})
+    return compared.filter(F.col("own") & (F.col("first") | ~F.col("before").eqNullSafe(F.col(value)))).select(*readings.columns)
+
+
+def sessions(events: DataFrame, key: str, at: str, tie: str, gap_us: int, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """``key``, ``session`` (1, 2, ... in time), ``events``, ``opened`` and ``closed``: a key's events cut by longer gaps.
+
+    A hot key is cut into slices of its time. A slice numbers its own sessions; how many the slices before hold is added
+    afterwards from one summary row a slice, and a session that crosses a cut is put together from its parts.
+    """
+    cut = with_halo(with_slices(events.select(key, at, tie, micros(F.col(at)).alias("at_us")), key, "at_us", rows_per_slice), key, "at_us", 1)
+    order = W.partitionBy(key, "slice_no").orderBy("at_us", tie)
+    gap = F.col("at_us") - F.lag("at_us").over(order) > gap_us
+    opens = cut.withColumn("opens", F.coalesce(gap, F.lit(True)).cast("long")).filter("own")
+    local = opens.withColumn("nth", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    parts = local.groupBy(key, "slice_no", "nth").agg(F.count(F.lit(1)).alias("events"), F.min(at).alias("opened"), F.max(at).alias("closed"), F.max("opens").alias("fresh"))
+    numbered = parts.withColumn("session", F.sum("fresh").over(W.partitionBy(key).orderBy("slice_no", "nth")))
+    return numbered.groupBy(key, "session").agg(F.sum("events").alias("events"), F.min("opened").alias("opened"), F.max("closed").alias("closed"))

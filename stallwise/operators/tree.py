@@ -14,6 +14,7 @@ def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> Da
     """Every (``ancestor``, ``descendant``, ``distance``), each node being its own at distance 0.
 
     Links are followed level by level until a level adds nothing; a node reached again, as in a cycle, isn't followed.
+    Raises if the tree is deeper than ``MAX_DEPTH``.
     """
     links = nodes.select(F.col(node).alias("descendant"), F.col(parent).alias("parent")).filter("descendant IS NOT NULL")
     known = links.select(F.col("descendant").alias("ancestor"), "descendant", F.lit(0).alias("distance")).distinct()
@@ -23,6 +24,6 @@ def closure(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> Da
         level = level.join(step, "ancestor").select(F.col("parent").alias("ancestor"), "descendant", F.lit(distance).alias("distance"))
         level = durable(level.join(known.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").distinct())
         if level.isEmpty():
-            break
+            return known
         known = durable(known.unionByName(level))
-    return known
+    raise ValueError(f"the tree is deeper than {MAX_DEPTH} levels")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, text, titles
@@ -264,12 +263,12 @@ def catalogue_counters(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT p.slug, max(l.last_checked_at) AS checked FROM product p JOIN listing l ON l.product_id = p.id
 WHERE l.in_stock AND p.image_url IS NOT NULL GROUP BY p.id, p.slug
-HAVING count(DISTINCT l.merchant_id) >= 2 AND max(l.last_checked_at) >= (SELECT max(last_checked_at) FROM listing) - INTERVAL 60 DAY""")
+HAVING count(DISTINCT l.merchant_id) >= 2 AND max(l.last_checked_at) >= (SELECT max(last_checked_at) FROM listing) - INTERVAL 180 DAY""")
 def fresh_compared_products(spark: SparkSession, d: str) -> DataFrame:
-    """Pictured products that two merchants have in stock and that were checked within 60 days."""
+    """Pictured products that two merchants have in stock and that were checked within 180 days."""
     listings = table(spark, d, "listing")
     offers = listings.filter(F.col("in_stock") & F.col("product_id").isNotNull()).groupBy(F.col("product_id").alias("id")).agg(F.countDistinct("merchant_id").alias("n"), F.max("last_checked_at").alias("checked"))
-    fresh = _one(offers.filter("n >= 2"), listings.agg(F.max("last_checked_at").alias("now"))).filter(F.col("checked") >= F.col("now") - F.expr("INTERVAL 60 DAYS"))
+    fresh = _one(offers.filter("n >= 2"), listings.agg(F.max("last_checked_at").alias("now"))).filter(F.col("checked") >= F.col("now") - F.expr("INTERVAL 180 DAYS"))
     return table(spark, d, "product").filter("image_url IS NOT NULL").select("id", "slug").join(fresh, "id").select("slug", "checked")
 
 
@@ -296,11 +295,11 @@ def watched_products(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, count(*) AS ratings, round(avg(substr(o_orderpriority, 1, 1)::INT), 4) AS average FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1""")
+SELECT o_custkey, count(*) AS ratings, round_even(avg(substr(o_orderpriority, 1, 1)::INT), 1) AS average FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1""")
 def rating_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Number and mean of the visible ratings."""
+    """Number and mean of the visible ratings, to one place, halves to the even side."""
     rating = F.substring("o_orderpriority", 1, 1).cast("int")
-    return table(spark, d, "orders").filter("o_orderstatus <> 'O'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("ratings"), F.round(F.avg(rating), 4).alias("average"))
+    return table(spark, d, "orders").filter("o_orderstatus <> 'O'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("ratings"), F.bround(F.avg(rating), 1).alias("average"))
 
 
 @query("SELECT id, price_kes FROM (SELECT * FROM listing ORDER BY last_checked_at DESC, id LIMIT 300) WHERE NOT in_stock")
@@ -372,7 +371,7 @@ def price_history_changes(spark: SparkSession, d: str) -> DataFrame:
     """Readings whose price differs from the one before."""
     known = table(spark, d, "listing_snapshot").filter("last_checked_at IS NOT NULL AND price_kes IS NOT NULL")
     readings = known.groupBy("listing_id", "last_checked_at").agg(F.max_by("price_kes", F.struct("loaded_at", "snap_id")).alias("price"))
-    return maintenance.changes_only(readings, ["listing_id"], ["last_checked_at"], "price").select("listing_id", "last_checked_at", "price")
+    return maintenance.changes_in_time(readings, "listing_id", "last_checked_at", "price").select("listing_id", "last_checked_at", "price")
 
 
 _PAGE = "regexp_replace(url, '[?#].*$', '')"
@@ -416,8 +415,7 @@ def title_clean_slug(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT seq, CASE WHEN contains(lower(title), 'refurbished') THEN 'refurbished' WHEN contains(lower(title), 'renewed') THEN 'refurbished' WHEN contains(lower(title), 'ex-uk') THEN 'used'
-  WHEN contains(lower(title), 'pre-owned') THEN 'used' WHEN contains(lower(title), 'used') THEN 'used' WHEN contains(lower(title), 'open box') THEN 'open-box' ELSE 'new' END AS condition FROM raw_listing""")
+SELECT seq, CASE WHEN contains(lower(title), 'refurb') OR contains(lower(title), 'renewed') THEN 'refurbished' WHEN contains(lower(title), 'used') OR contains(lower(title), 'second hand') THEN 'used' ELSE 'new' END AS condition FROM raw_listing""")
 def condition_map(spark: SparkSession, d: str) -> DataFrame:
     """The condition that a title tells."""
     return table(spark, d, "raw_listing").select("seq", text.condition(F.col("title")).alias("condition"))
@@ -523,11 +521,7 @@ s AS (SELECT *, sum((before IS NULL OR ts - before > INTERVAL 6 HOUR)::INT) OVER
 SELECT user_id, session::BIGINT AS session, count(*) AS events, min(ts) AS opened, max(ts) AS closed FROM s GROUP BY 1, 2""")
 def visits_by_gap(spark: SparkSession, d: str) -> DataFrame:
     """An extension: events of a user cut into visits by gaps of more than six hours."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 6 HOURS")
-    cut = table(spark, d, "events").withColumn("opens", F.coalesce(gap, F.lit(True)).cast("long"))
-    numbered = cut.withColumn("session", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("opened"), F.max("ts").alias("closed"))
+    return maintenance.sessions(table(spark, d, "events"), "user_id", "ts", "event_id", 6 * 3600 * 1_000_000)
 
 
 @query()
@@ -536,27 +530,28 @@ def titles_parsed(spark: SparkSession, d: str) -> DataFrame:
     brands = [r[0] for r in table(spark, d, "brand_reference").select("brand_name").limit(1001).collect()]
     if len(brands) > 1000:
         raise ValueError("more than 1000 reference brands; titles would be read without the rest")
-    leaves = sorted({"phones", "tablets", "laptops", "tvs", "refrigerators", "kettles", "blenders", "audio", "inverters", "solar-batteries"})
-    raw = table(spark, d, "raw_listing").select("seq", "category_slug", "title", "description")
+    leaves = ["audio", "blenders", "inverters", "kettles", "laptops", "phone-tablet-accessories", "phones", "refrigerators", "solar-batteries", "tablets", "tvs", "washers-dryers"]
+    grammar = F.create_map(F.lit("washers"), F.lit("washers-dryers"), F.lit("phone-covers"), F.lit("phone-tablet-accessories"))[F.col("category_slug")]
+    raw = table(spark, d, "raw_listing").select("seq", F.coalesce(grammar, "category_slug").alias("category_slug"), "title", "description")
     return titles.parsed_offers(raw, "title", leaves, brands, "description").select("seq", "category_slug", "parsed.brand", "parsed.canonical_key")
 
 
 @query("""
 WITH l AS (SELECT product_id, count(*) AS offer_count, min(price_kes)::DOUBLE AS low FROM listing WHERE product_id IS NOT NULL GROUP BY 1)
-SELECT p.id, p.slug, l.offer_count, l.low FROM product p LEFT JOIN l ON l.product_id = p.id WHERE p.category_slug = 'tvs'""")
+SELECT p.id, p.slug, l.offer_count, l.low FROM product p LEFT JOIN l ON l.product_id = p.id""")
 def product_offers_left(spark: SparkSession, d: str) -> DataFrame:
-    """TVs with their offers, those without any included; offers are counted before the join."""
+    """Products with their offers, those without any included; offers are counted before the join."""
     offers = table(spark, d, "listing").filter("product_id IS NOT NULL").groupBy("product_id").agg(F.count(F.lit(1)).alias("offer_count"), F.min("price_kes").cast("double").alias("low"))
-    tvs = table(spark, d, "product").filter("category_slug = 'tvs'").select("id", "slug")
-    return tvs.join(offers, tvs["id"] == offers["product_id"], "left").select("id", "slug", "offer_count", "low")
+    products = table(spark, d, "product").select("id", "slug")
+    return products.join(offers, products["id"] == offers["product_id"], "left").select("id", "slug", "offer_count", "low")
 
 
 @query("""
-WITH a AS (SELECT id, product_id, url FROM listing WHERE product_id % 3 = 0), r AS (SELECT id AS old, id - 1 AS new FROM product WHERE id % 3 = 0)
+WITH a AS (SELECT id, product_id, url FROM listing), r AS (SELECT id AS old, id - 1 AS new FROM product WHERE id % 3 = 0)
 SELECT a.id, coalesce(r.new, a.product_id) AS product_id FROM a LEFT JOIN r ON r.old = a.product_id""")
 def redirect_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Offers led to the product that a forwarding names, or left where they are."""
-    offers = table(spark, d, "listing").filter("product_id % 3 = 0").select("id", F.col("product_id").alias("old"))
+    """Offers led to the product that a forwarding names, or left where they are. Every third product forwards, for want of a table of forwardings."""
+    offers = table(spark, d, "listing").select("id", F.col("product_id").alias("old"))
     forward = table(spark, d, "product").filter("id % 3 = 0").select(F.col("id").alias("old"), (F.col("id") - 1).alias("new"))
     return offers.join(forward, "old", "left").select("id", F.coalesce("new", "old").alias("product_id"))
 
