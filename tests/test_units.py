@@ -51,3 +51,9 @@ def test_fixture(spark):
 
 def test_empty(spark):
     assert quantities(spark, [], []) == {}
+
+
+def test_memory_is_no_network(spark):
+    raw = [(1, "Phone 4GB RAM 64GB 5G", "phones", "m", None), (2, "Router 5G 300 g", "phones", "m", None)]
+    got = quantities(spark, [], raw)
+    assert got == {(1, "ram"): (4, False), (1, "storage"): (64, False), (2, "mass"): (300, False)}
