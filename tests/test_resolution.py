@@ -1,7 +1,13 @@
+import time
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from stallwise.operators import resolution
+from stallwise.plans import matching
 from stallwise.session import ensure_checkpoint_dir
 from stallwise.sources.tables import stored
 
@@ -54,6 +60,80 @@ def test_unit_vectors(spark):
     assert got[0] == pytest.approx([0.6, 0.8]) and got[1:] == [None] * 5
 
 
+def test_a_long_vector_is_brought_to_length_one_in_one_pass(spark):
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: (i % 7).cast("float")).alias("v"))
+    began = time.time()
+    assert long.select(F.aggregate(resolution.unit_vector(F.col("v")), F.lit(0.0), lambda s, v: s + v * v).alias("n")).first().n == pytest.approx(1)
+    assert time.time() - began < 30
+
+
+def nearest(ids, vectors, asked):
+    """Brute force, with every sum added up in order and rounded as SQL does it: id -> (other, similarity)."""
+    x = np.asarray(vectors, dtype=float)
+    units = x / np.sqrt(np.cumsum(x * x, axis=1)[:, -1])[:, None]
+    found = {}
+    for i in np.flatnonzero(asked):
+        dots = np.cumsum(units[i] * units, axis=1)[:, -1] * 10_000
+        rounded = np.copysign(np.floor(np.abs(dots)) + (np.abs(dots) - np.floor(np.abs(dots)) >= 0.5), dots)
+        found[ids[i]] = max(((r / 10_000, -o) for r, o in zip(rounded.tolist(), ids) if o != ids[i]), default=None)
+    return {i: (-b[1], b[0]) for i, b in found.items() if b}
+
+
+def test_merge_candidates_of_many_products_end_soon(spark, tmp_path):
+    n, rng = 12_000, np.random.default_rng(3)
+    x = rng.normal(size=(n, 384)).astype(np.float32)
+    x[6_000:] = x[:6_000] + rng.normal(size=(6_000, 384)).astype(np.float32) * 0.2
+    offsets = pa.array(np.arange(0, n * 384 + 1, 384, dtype=np.int32))
+    columns = {"id": list(range(n)), "category_slug": ["a"] * n, "canonical_key": ["k"] * n, "specs": ["{}"] * n, "embedding": pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))}
+    pq.write_table(pa.table(columns), tmp_path / "product.parquet", row_group_size=2_000)
+    began = time.time()
+    got = {r.id: (r.other, r.similarity) for r in matching.merge_candidates(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 40
+    some = np.zeros(n, dtype=bool)
+    some[::400] = True
+    assert len(got) == 600 and nearest(range(n), x, some).items() <= got.items()
+
+
+def test_the_nearest_of_a_block_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "CELL", 7)
+    rng = np.random.default_rng(5)
+    rows, wanted = [], {}
+    for block, n in (("a", 90), ("b", 20), ("c", 1)):
+        ids = [len(rows) + k for k in range(n)]
+        x = rng.integers(-2, 3, size=(n, 6)).astype(float)  # many copies, so many equal similarities
+        x[:, 0] += 0.5
+        rows += [(i, block, v) for i, v in zip(ids, x.tolist())]
+        wanted |= nearest(ids, x, np.array(ids) % 3 == 0)
+    rows += [(500, "a", [0.0] * 6), (501, "a", [float("nan")] + [1.0] * 5), (504, "a", [float("inf")] * 6), (507, "a", [None] + [1.0] * 5), (None, "a", rows[0][2]), (510, None, rows[0][2]), (511, None, rows[0][2]), (520, "d", rows[0][2])]
+    vectors = spark.createDataFrame(rows, "id long, k string, vector array<double>").repartition(5)
+    got = [tuple(r) for r in resolution.best_neighbour(vectors, vectors.filter("id % 3 = 0"), "k").collect()]
+    assert len(got) == len(wanted) > 30 and {i: (o, s) for i, o, s in got} == wanted
+    assert resolution.best_neighbour(vectors, vectors.filter("id < 0"), "k").count() == 0
+
+
+def test_halves_of_similarities_are_rounded_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    halves = [(k + 0.5) / 10_000 for k in range(1, 9_999)]
+    differ = [d for d in halves if d * 10_000 % 1 < 0.5 and np.sqrt(d * d + np.sqrt(1 - d * d) ** 2) == 1][:20]  # just below, though written as a half
+    assert len(differ) == 20
+    rows = [(i, str(i // 2), [1.0, 0.0] if i % 2 == 0 else [differ[i // 2], float(np.sqrt(1 - differ[i // 2] ** 2))]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "id long, k string, vector array<double>")
+    got = {r.id: r.similarity for r in resolution.best_neighbour(vectors, vectors.filter("id % 2 = 0"), "k").collect()}
+    assert got == {2 * k: duckdb.execute("SELECT round(?::DOUBLE, 4)", [d]).fetchone()[0] for k, d in enumerate(differ)}
+
+
+def test_tiles_change_nothing(monkeypatch):
+    monkeypatch.setattr(resolution, "TILE", (3, 4))
+    x = np.random.default_rng(7).normal(size=(50, 5))
+    x[40:] = x[:10]
+    units, ids = x / np.sqrt(np.cumsum(x * x, axis=1)[:, -1])[:, None], np.arange(50)
+    cell = resolution._Cell([(ids[::5], units[::5]), (ids[1::5], units[1::5])])
+    for part in (slice(0, 17), slice(17, 50)):
+        cell.meet(ids[part], units[part])
+    rows = cell.found().to_pylist()
+    assert {r["id"]: (r["other"], r["similarity"]) for r in rows} == nearest(ids.tolist(), x, np.isin(ids % 5, [0, 1]))
+
+
 def test_stored_tells_nothing_written_from_a_fault(spark, tmp_path):
     assert stored(spark, str(tmp_path / "nothing")) is None
     (tmp_path / "broken").mkdir()
