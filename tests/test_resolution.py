@@ -94,6 +94,22 @@ def test_merge_candidates_of_many_products_end_soon(spark, tmp_path):
     assert len(got) == 600 and nearest(range(n), x, some).items() <= got.items()
 
 
+def test_the_queue_of_many_products_ends_soon_and_is_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    n, rng = 8_000, np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(n // 4, 384)), 4, axis=0) + rng.normal(size=(n, 384)) * 0.25
+    offsets = pa.array(np.arange(0, n * 384 + 1, 384, dtype=np.int32))
+    columns = {"id": list(range(n)), "slug": [f"s-{i}" for i in range(n)], "category_slug": ["ab"[i // 4 % 2] for i in range(n)], "canonical_key": [f"k|{i % 3}" if i % 5 else None for i in range(n)]}
+    columns |= {"specs": ["{}"] * n, "embedding": pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32).ravel()))}
+    pq.write_table(pa.table(columns), tmp_path / "product.parquet", row_group_size=1_000)
+    began = time.time()
+    got = matching.merge_queue(spark, str(tmp_path)).collect()
+    assert time.time() - began < 30
+    duck = duckdb.connect()
+    duck.sql(f"create view product as select * from '{tmp_path}/product.parquet'")
+    assert len(got) == 200 and sorted((r.similarity, r.slug, r.other_slug) for r in got) == sorted(duck.sql(matching.ORACLES["merge_queue"]).fetchall())
+
+
 def test_the_nearest_of_a_block_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(resolution, "CELL", 7)
     rng = np.random.default_rng(5)
